@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes handled by one numpy step, so that a task's memory does not follow the size of its partition.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -41,6 +41,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches small enough that long texts do not fill a Python worker; larger settings are lowered."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or int(now) == 0 or int(now) > most:
+            spark.conf.set(key, most)
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; extra columns of the input, whatever their names, cannot clash with ours."""
     return df.select(*[df[n] for n in names])

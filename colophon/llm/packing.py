@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.common import materialize, own_columns, text_steps
+from colophon.llm.common import bounded_batches, materialize, own_columns, text_steps
 
 CAPACITY = 1024
 END_ID = 2
@@ -88,6 +88,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
                 columns["ids"] = pa.array(ids_out, pa.list_(pa.int32()))
             yield pa.record_batch(list(columns.values()), names=list(columns))
 
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     return own_columns(docs, "doc_id", "text").mapInArrow(run, schema)
 

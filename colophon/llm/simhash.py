@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.common import LOWER_AZ, materialize, own_columns, text_steps
+from colophon.llm.common import LOWER_AZ, bounded_batches, materialize, own_columns, text_steps
 from colophon.llm.components import components
 
 SHINGLE = 3
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(shingle_hashes(t)) for t in part.column("text").to_pylist()], np.uint64)
             yield pa.record_batch([part.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     return own_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
