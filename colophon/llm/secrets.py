@@ -64,7 +64,9 @@ def labelled_sample(docs: DataFrame) -> DataFrame:
     raw = F.regexp_replace(F.base64(F.unhex(seed)), "=+$", "")
     kind = F.col("id") % 3
     random = spark.range(RANDOM_STRINGS).select(F.when(kind == 0, raw).when(kind == 1, F.substr(seed, F.lit(1), F.lit(32))).otherwise(F.upper(F.regexp_replace(raw, "[+/]", ""))).alias("s"), F.lit(True).alias("random"))
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    # The ids are chosen first, so that no text goes through the one task that picks them.
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0))
     # Identifiers: runs of words written solid, in snake case and in kebab case.
     fours = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 4).cast("int"))
