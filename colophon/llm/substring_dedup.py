@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.common import hash_windows, hash_words, materialize, own_columns, spans_of, split_words, text_bytes, text_steps
+from colophon.llm.common import bounded_batches, hash_windows, hash_words, materialize, own_columns, spans_of, split_words, text_bytes, text_steps
 
 #: Words in a window, and in the short runs of the first level.
 WINDOW = 13
@@ -114,17 +114,21 @@ def _windows_with(part: pa.RecordBatch, window: int, base: int):
         a, b = bounds[i], bounds[i + 1]
         keep[a:b] = np.isin(least[a:b], np.array(anchors or [], np.int64).view(np.uint64))
     at, rows = at[keep], rows[keep]
+    # 96 bits are enough to tell windows apart at any size of input, and less to shuffle than 128.
     h1, h2 = hash_windows(words, window, 1), hash_windows(words, window, 2)
-    return data, starts, ends, word_offs, at, rows, h1[at].view(np.int64), h2[at].view(np.int64)
+    return data, starts, ends, word_offs, at, rows, h1[at].view(np.int64), (h2[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _next_level(window: int, base: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_steps(batches, "text"):
             *_, rows, h1, h2 = _windows_with(part, window, base)
-            keys = np.unique(np.stack([rows, h1, h2]), axis=1)
+            order = np.lexsort((h2, h1, rows))
+            rows, h1, h2 = rows[order], h1[order], h2[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.record_batch([pa.array(keys[1]), pa.array(keys[2]), pa.array(ids[keys[0]].astype(np.int64))], names=["h1", "h2", "doc_id"])
+            yield pa.record_batch([pa.array(h1[new]), pa.array(h2[new]), pa.array(ids[rows[new]].astype(np.int64))], names=["h1", "h2", "doc_id"])
 
     return run
 
@@ -159,6 +163,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> D
     """
     if not 0 < base <= window:
         raise ValueError("base must lie between 1 and window")
+    bounded_batches(docs.sparkSession)
     docs = own_columns(docs, "doc_id", "text")
     known = docs.where("doc_id IS NOT NULL")
     ids = known.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
@@ -174,7 +179,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> D
 
     # Level two: the whole window, in documents that have candidates.
     open_docs = sorted_out.where("anchors IS NOT NULL")
-    windows = open_docs.select("doc_id", "text", "anchors").mapInArrow(_next_level(window, base), "h1 long, h2 long, doc_id long")
+    windows = open_docs.select("doc_id", "text", "anchors").mapInArrow(_next_level(window, base), "h1 long, h2 int, doc_id long")
     repeated = materialize(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "level-window")
     hits = windows.join(repeated, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("hits"))
     cut = open_docs.select("doc_id", "n_words", "text", "anchors").join(hits, "doc_id", "left").mapInArrow(_cut(window, base), "doc_id long, n_words long, n_removed long, kept string")
