@@ -80,7 +80,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     found = alignments(index, items, probes(index, items, window))
     candidate = F.struct("item_id", "words", "shift")
     notes = materialize(found.join(items, "ikey").groupBy(F.col("doc_id").alias("note_id")).agg(F.collect_list(candidate).alias("aligned")), "alignments")
-    tokens = docs.join(notes, docs["doc_id"].eqNullSafe(notes["note_id"]), "left").select(*[docs[c].alias(f"d{i}") for i, c in enumerate(docs.columns)], words_of(docs["text"]).alias("tokens"), "aligned")
+    # The alignments grow with the corpus, so they are merged with it and never broadcast.
+    tokens = docs.join(notes.hint("merge"), docs["doc_id"].eqNullSafe(notes["note_id"]), "left").select(*[docs[c].alias(f"d{i}") for i, c in enumerate(docs.columns)], words_of(docs["text"]).alias("tokens"), "aligned")
 
     def windows_at(c: Column) -> Column:
         n = F.least(F.size(c["words"]), F.lit(window))
