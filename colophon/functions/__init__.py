@@ -1 +1 @@
-
+"""Scalar functions as Spark columns: addresses, expressions, text, dates, hashes."""

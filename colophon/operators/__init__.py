@@ -1 +1 @@
-
+"""Operators over records, facts, snapshots and the catalog."""

@@ -1 +1 @@
-
+"""Readers: harvested pages, logs, bitstreams, side inputs."""

@@ -1 +1 @@
-
+"""Incremental loading with Structured Streaming."""
