@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colophon.plans import registry, rules  # noqa: F401
+from colophon.plans import facts, registry, rules, snapshots, texts  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.QUERIES["v_expression"](spark, sf_dir)
+    return registry.QUERIES["r_facets"](spark, sf_dir)
 
 
 def queries() -> dict[str, registry.Query]:

@@ -16,13 +16,13 @@ def log_line(message: Column, at: Column) -> Column:
     return F.concat(F.lit("["), F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("] "), F.regexp_replace(message, r"[\r\n]+", " "))
 
 
-def parse_log(lines: DataFrame, column: str = "value") -> DataFrame:
-    """timestamp and message; a line without brackets is both, blank lines are left out."""
+def parse_log(lines: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """timestamp and message beside the columns to keep; a line without brackets is both, blank lines are left out."""
     line = F.col(column)
     plain = F.instr(line, "]") <= 1
     stamp = F.trim(F.regexp_extract(line, r"(?s)\A.([^\]]*)\]", 1))
     message = F.trim(F.regexp_extract(line, r"(?s)\A[^\]]*\](.*)\z", 1))
-    return lines.where(F.trim(line) != "").select(F.when(plain, line).otherwise(stamp).alias("timestamp"), F.when(plain, line).otherwise(message).alias("message"))
+    return lines.where(F.trim(line) != "").select(*(keep or []), F.when(plain, line).otherwise(stamp).alias("timestamp"), F.when(plain, line).otherwise(message).alias("message"))
 
 
 def read_log(spark: SparkSession, path: str, page: int = 0, size: int = 100) -> DataFrame:
