@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +42,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are written: it does so when their plans are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches small enough that long texts do not fill a Python worker; larger settings are lowered."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
@@ -51,7 +58,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; extra columns of the input, whatever their names, cannot clash with ours."""
-    return df.select(*[df[n] for n in names])
+    return df.select(*[df[n].cast("long").alias(n) if n in ("doc_id", "vec_id") else df[n] for n in names])
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

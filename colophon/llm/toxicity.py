@@ -129,7 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, size:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with held_out, score and predicted beside them."""
+    """The rows of ``docs`` with held_out, score and predicted beside them (in place of columns so named)."""
+    docs = docs.drop("held_out", "score", "predicted")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
