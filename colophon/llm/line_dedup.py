@@ -12,7 +12,7 @@ are treated alike; an empty table gives an empty result; extra columns are kept
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colophon.llm.common import materialize, own_columns
@@ -24,12 +24,12 @@ LG_K = 10
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, site, pos and hash of every line that is not blank."""
+    """doc_id, site and hash of every line that is not blank."""
     return (
         own_columns(docs, "doc_id", "text", "source")
-        .select("doc_id", F.coalesce("source", F.lit("")).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+        .select("doc_id", F.coalesce("source", F.lit("")).alias("site"), F.explode(F.split("text", "\n", -1)).alias("line"))
         .where(F.trim("line") != "")
-        .select("doc_id", "site", "pos", F.xxhash64("line").alias("h"))
+        .select("doc_id", "site", F.xxhash64("line").alias("h"))
     )
 
 
@@ -47,19 +47,27 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR)
 
 
 def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """The rows of ``docs`` with cleaned text, and n_lines and n_lines_removed beside it."""
+    """The rows of ``docs`` with cleaned text, and n_lines and n_lines_removed beside it (in place of columns so named)."""
+    docs = docs.drop("n_lines", "n_lines_removed")
     marked = boilerplate(docs, min_sites)
-    hit = _lines(docs).join(marked, "h").select("doc_id", "pos", "h", F.col("doc_id").eqNullSafe(F.col("first_doc")).alias("first"))
-    # Of a document's boilerplate lines all positions go, but in the first document the least position of each line.
-    by_line = hit.groupBy("doc_id", "h").agg(F.max("first").alias("first"), F.collect_set("pos").alias("at"))
-    gone = by_line.select("doc_id", F.when(F.col("first"), F.array_remove("at", F.array_min("at"))).otherwise(F.col("at")).alias("at"))
-    notes = gone.groupBy(F.col("doc_id").alias("note_id")).agg(F.flatten(F.collect_list("at")).alias("gone_at"))
-    joined = docs.join(notes, docs["doc_id"].eqNullSafe(notes["note_id"]), "left")
-    split = F.split(docs["text"], "\n", -1)
-    stay = F.when(notes["gone_at"].isNull(), docs["text"]).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(notes["gone_at"], i)), "\n"))
-    columns = [stay.alias("text") if c == "text" else docs[c] for c in docs.columns]
-    n_lines = F.coalesce(F.size(split), F.lit(0)).cast("long")
-    return joined.select(*columns, F.when(docs["text"].isNull(), F.lit(0).cast("long")).otherwise(n_lines).alias("n_lines"), F.coalesce(F.size("gone_at"), F.lit(0)).cast("long").alias("n_lines_removed"))
+    hit = _lines(docs).join(marked, "h").select("doc_id", "h", F.col("doc_id").eqNullSafe(F.col("first_doc")).alias("first"))
+    notes = hit.groupBy(F.col("doc_id").alias("note_id")).agg(F.collect_set("h").alias("gone"), F.collect_set(F.when(F.col("first"), F.col("h"))).alias("stay_once"))
+    # The notes grow with the corpus, so they are merged with it and never broadcast.
+    joined = docs.join(notes.hint("merge"), docs["doc_id"].eqNullSafe(notes["note_id"]), "left")
+    names = {c: f"d{i}" for i, c in enumerate(docs.columns)}
+    text = F.col(names["text"])
+    parts = joined.select(*[docs[c].alias(n) for c, n in names.items()], "gone", "stay_once", F.split(docs["text"], "\n", -1).alias("lines"))
+    hashed = parts.withColumn("hashes", F.when(F.col("gone").isNotNull(), F.transform("lines", lambda x: F.xxhash64(x))))
+
+    def stays(x: Column, i: Column) -> Column:
+        h = F.get("hashes", i)
+        return (F.trim(x) == "") | ~F.array_contains("gone", h) | (F.array_contains("stay_once", h) & (F.array_position("hashes", h) == i + 1))
+
+    kept = hashed.withColumn("kept", F.when(F.col("gone").isNotNull(), F.filter("lines", stays)))
+    out = [F.when(F.col("kept").isNull(), text).otherwise(F.array_join("kept", "\n")).alias("text") if c == "text" else F.col(n).alias(c) for c, n in names.items()]
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size("lines")).cast("long")
+    removed = F.when(F.col("kept").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long")
+    return kept.select(*out, n_lines.alias("n_lines"), removed.alias("n_lines_removed"))
 
 
 def digest(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
