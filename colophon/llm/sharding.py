@@ -5,7 +5,7 @@ which a record's chance follows its size gives quantile splitters; they cut the
 (``PIECES`` a shard), and a range far over its share, such as a large group of equal texts, is subdivided by the
 id hash. Exact sizes of the ranges, a table of bounded length, then place every range on one line of bytes, a
 window inside each range places its records, and a shard is an equal share of the line. Records larger than a
-hundredth of a share (at most 100 a shard) are dealt out first, largest first, back and forth over the shards,
+hundredth of a share (at most 100 a shard) are dealt out first, largest first to the emptiest shard,
 and the line is cut where each shard has the rest of its share; so sizes differ by about a hundredth at most,
 unless one record is larger than a share.
 
@@ -16,7 +16,7 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.llm.common import materialize, own_columns
@@ -44,7 +44,7 @@ def splitters(records: DataFrame, total: int, ranges: int, per_range: int = SAMP
     return sorted(set(cuts or []))
 
 
-def _range_of(key, cuts: list[int], fan: int = 24):
+def _range_of(key: Column, cuts: list[int], fan: int = 24) -> Column:
     """The number of splitters at or below the key, looked up in two levels."""
     if not cuts:
         return F.lit(0)
@@ -62,14 +62,18 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, pieces: int = PIECES)
     share = total / shards
     large = F.col("size") > share / 100
 
-    # Large records: at most 100 a shard, so these windows have bounded groups.
-    back_and_forth = F.pmod(F.col("rank"), F.lit(2 * shards))
-    giants = (
-        records.where(large)
-        .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "key", "tie")) - 1)
-        .withColumn("shard", F.when(back_and_forth < shards, back_and_forth).otherwise(2 * shards - 1 - back_and_forth).cast("int"))
-    )
-    giants = materialize(giants.select("doc_id", "size", "text_crc32", "shard", "rank"), "giants")
+    # Large records, at most 100 a shard: one array of bounded length, dealt out largest first to the emptiest shard.
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("minus"), "key", "tie", "doc_id", "text_crc32")))
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"), F.array().cast("array<int>").alias("out"))
+
+    def deal(acc: Column, x: Column) -> Column:
+        to = F.array_position(acc["loads"], F.array_min(acc["loads"])).cast("int") - 1
+        loads = F.transform(acc["loads"], lambda load, i: F.when(i == to, load - x["minus"]).otherwise(load))
+        return F.struct(loads.alias("loads"), F.array_append(acc["out"], to).alias("out"))
+
+    dealt = records.where(large).agg(ordered.alias("rows")).select("rows", F.aggregate("rows", start, deal, lambda acc: acc["out"]).alias("shards"))
+    each = dealt.select(F.posexplode(F.arrays_zip("rows", "shards")).alias("rank", "x"))
+    giants = materialize(each.select("x.rows.doc_id", (-F.col("x.rows.minus")).alias("size"), "x.rows.text_crc32", F.col("x.shards").alias("shard"), "rank"), "giants")
     taken = {r["shard"]: (r["b"], r["n"]) for r in giants.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
 
     # The rest: the line is cut where each shard has what it lacks.
