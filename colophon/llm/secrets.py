@@ -3,7 +3,7 @@
 Base rules find three kinds of spans by pattern: leftmost, non-overlapping matches are cut out with split(), whose
 gaps give the positions. A fourth kind, ``random``, comes from two character Markov models (bigrams), one trained on
 random strings and one on ordinary identifiers, both labelled samples: a long run of key characters that lies in no
-base span is reported if its mean log-likelihood ratio is over a threshold calibrated on the ordinary sample.
+base span is reported if its mean log-likelihood ratio is over a threshold calibrated on both samples.
 
 Defined cases: a null text is empty; a null doc_id is returned as null; repeated rows are scanned each; an empty
 table gives an empty result (the models are then trained on random strings alone and report nothing); extra
@@ -26,6 +26,11 @@ HEX = r"[0-9a-f]{24,}"
 #: Candidates of the Markov models.
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 
+#: Matches that are placed together.
+BLOCK = 256
+#: Distinct characters of a reported run: rulers and repeated letters are not random.
+LEAST_DISTINCT = 10
+
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _N = len(ALPHABET) + 1
 #: Bounds of the labelled samples: random strings, and documents whose words serve as ordinary identifiers.
@@ -35,17 +40,33 @@ QUANTILE = 0.9995
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as structs of start, end (code points, end exclusive) and the match."""
+    """Leftmost non-overlapping matches as structs of start, end (code points, end exclusive) and the match.
+
+    Places are running sums of the lengths of gaps and matches. They are summed in blocks, as an array that grows
+    by one is copied at every step, which would cost the square of the number of matches.
+    """
     pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["gap"]
         end = start + F.coalesce(F.length(p["hit"]), F.lit(0))
-        grown = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("hit"))))
+        grown = F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("hit")))
         return F.struct(end.alias("at"), F.when(p["hit"].isNull(), acc["out"]).otherwise(grown).alias("out"))
 
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    def in_block(block: Column) -> Column:
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def moved(acc: Column, b: Column) -> Column:
+        found = F.transform(b["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), (x["end"] + acc["at"]).alias("end"), x["hit"].alias("hit")))
+        return F.struct((acc["at"] + b["at"]).alias("at"), F.array_append(acc["out"], found).alias("out"))
+
+    def summed(all_pieces: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_pieces) - 1) / BLOCK).cast("int")), lambda i: in_block(F.slice(all_pieces, i * BLOCK + 1, F.lit(BLOCK))))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,hit:string>>>").alias("out")), moved, lambda acc: F.flatten(acc["out"]))
+
+    # A one-element array binds the pieces to a name, so that they are cut once and not in every step.
+    return F.get(F.transform(F.array(pieces), summed), F.lit(0))
 
 
 def _code(c: Column) -> Column:
@@ -54,7 +75,13 @@ def _code(c: Column) -> Column:
 
 def _pairs(s: Column) -> Column:
     """Codes of neighbouring characters as one number each."""
-    return F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: _code(F.substr(s, i, F.lit(1))) * _N + _code(F.substr(s, i + 1, F.lit(1))))
+    codes = F.transform(F.split(s, ""), _code)
+
+    def joined(c: Column) -> Column:
+        n = F.greatest(F.size(c) - 1, F.lit(0))
+        return F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda x, y: x * _N + y)
+
+    return F.get(F.transform(F.array(codes), joined), F.lit(0))
 
 
 def labelled_sample(docs: DataFrame) -> DataFrame:
@@ -89,8 +116,14 @@ def train(docs: DataFrame) -> tuple[list[float], float]:
         by_first = [sum(n.get(a * _N + b, 0) for b in range(_N)) for a in range(_N)]
         logs[label] = [math.log((n.get(p, 0) + 0.5) / (by_first[p // _N] + 0.5 * _N)) for p in range(_N * _N)]
     table = [a - b for a, b in zip(logs[True], logs[False])]
-    cut = sample.where("NOT random").where(F.length("s") >= 20).agg(F.percentile_approx(score(F.col("s"), table), QUANTILE, 10_000).alias("cut")).first()["cut"]
-    return table, max(cut if cut is not None else math.inf, 0.0)
+    ratio = score(F.col("s"), table)
+    quantiles = sample.where(F.length("s") >= 20).agg(
+        F.percentile_approx(F.when(~F.col("random"), ratio), QUANTILE, 10_000).alias("ordinary"), F.percentile_approx(F.when(F.col("random"), ratio), 1 - QUANTILE, 10_000).alias("random")
+    ).first()
+    if quantiles["ordinary"] is None:
+        return table, math.inf
+    # Half-way between the samples where they stand apart, and never under the ordinary ones.
+    return table, max(quantiles["ordinary"], (quantiles["ordinary"] + quantiles["random"]) / 2, 0.0)
 
 
 def score(s: Column, table: list[float]) -> Column:
@@ -116,7 +149,8 @@ def scan(docs: DataFrame, model: tuple[list[float], float] | None = None) -> Dat
         F.when(t.rlike(RUN), spans(t, RUN)).otherwise(none).alias("run"),
     )
     taken = F.concat("assign", "access", "hex")
-    fresh = F.filter("run", lambda r: ~F.exists(taken, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    varied = lambda r: F.size(F.array_distinct(F.split(r["hit"], ""))) >= LEAST_DISTINCT
+    fresh = F.filter("run", lambda r: varied(r) & ~F.exists(taken, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
     return base.select("doc_id", "assign", "access", "hex", fresh.alias("run")).select("doc_id", "assign", "access", "hex", F.filter("run", lambda r: score(r["hit"], table) > cut).alias("random"))
 
 
