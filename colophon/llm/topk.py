@@ -33,14 +33,25 @@ def usable(vectors: DataFrame) -> DataFrame:
     return own_columns(vectors, "vec_id", "embedding").where(F.coalesce(ok, F.lit(False)))
 
 
-def _matrix(rows: list, scale: int) -> np.ndarray:
-    """Integer components as exact doubles, one row per dimension."""
-    out = np.zeros((max((len(r) for r in rows), default=0), len(rows)))
-    for i, r in enumerate(rows):
-        out[: len(r), i] = np.floor(np.asarray(r, dtype=np.float64) * scale)
+def _matrix(vectors: pa.Array, scale: int) -> np.ndarray:
+    """Integer components as exact doubles, one row per dimension; shorter vectors are filled up with zeros."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    values = np.floor(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale)
+    d = int(sizes.max(initial=0))
+    if len(sizes) and (sizes == d).all():
+        return np.ascontiguousarray(values.reshape(len(sizes), d).T)
+    out = np.zeros((d, len(sizes)))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes), row] = values
     return out
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """Matrices side by side, all as tall as the tallest."""
+    d = max((len(p) for p in parts), default=0)
+    return np.hstack([np.pad(p, ((0, d - len(p)), (0, 0))) for p in parts]) if parts else np.zeros((0, 0))
+
+
 def search(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids: np.ndarray, k: int, step: int = DIMENSIONS) -> list[tuple[int, int, int]]:
     """(query, id, score) of each query's k best. ``queries`` and ``columns`` are dimension by row."""
     d = max(len(queries), len(columns))
@@ -74,36 +85,28 @@ def search(queries: np.ndarray, query_ids: np.ndarray, columns: np.ndarray, ids:
 
 def _search_groups(k: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows are sorted by group, in it the candidates (block -1) and then blocks of queries."""
-        group, ids, columns = None, [], None
-        held_ids, held = [], []
-
-        def answer(block_ids: list, block: list) -> pa.RecordBatch:
-            found = search(_matrix(block, scale), np.array(block_ids, np.int64), columns, ids, k) if len(ids) and block else []
-            return pa.record_batch([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
-
-        cand_ids: list = []
-        cand: list = []
+        """Rows come sorted by group, in each group the candidates before the queries."""
+        group, ids, parts, columns = None, [], [], None
         for batch in batches:
-            for g, is_query, vec_id, vector in zip(*(batch.column(c).to_pylist() for c in ("grp", "is_query", "vec_id", "embedding"))):
-                if g != group:
-                    if held:
-                        yield answer(held_ids, held)
-                    group, cand_ids, cand, held_ids, held, columns, ids = g, [], [], [], [], None, np.zeros(0, np.int64)
-                if not is_query:
-                    cand_ids.append(vec_id)
-                    cand.append(vector)
+            grp, asks = batch.column("grp").to_numpy(), batch.column("is_query").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((grp[1:] != grp[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if a == b:
                     continue
-                if columns is None:
-                    columns, ids = _matrix(cand, scale), np.array(cand_ids, np.int64)
-                    cand_ids, cand = [], []
-                held_ids.append(vec_id)
-                held.append(vector)
-                if len(held) == BLOCK:
-                    yield answer(held_ids, held)
-                    held_ids, held = [], []
-        if held:
-            yield answer(held_ids, held)
+                if grp[a] != group:
+                    group, ids, parts, columns = grp[a], [], [], None
+                for i in range(a, b, BLOCK if asks[a] else GROUP):
+                    part = batch.slice(i, min(b - i, BLOCK if asks[a] else GROUP))
+                    numbers = part.column("vec_id").to_numpy()
+                    matrix = _matrix(part.column("embedding"), scale)
+                    if not asks[a]:
+                        ids.append(numbers)
+                        parts.append(matrix)
+                        continue
+                    if columns is None:
+                        columns, held, parts = _joined(parts), np.concatenate(ids) if ids else np.zeros(0, np.int64), []
+                    found = search(matrix, numbers, columns, held, k) if len(held) else []
+                    yield pa.record_batch([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
     return run
 
