@@ -54,7 +54,8 @@ def build_index(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def probes(index: DataFrame, items: DataFrame, window: int = WINDOW, lists: int = LISTS) -> DataFrame:
     """(ikey, start, rank, at, term): of every window the places of its rarest terms, unless a term never occurs."""
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
+    # Written, so that its size is known: it is broadcast while small, and otherwise joined by an exchange that can be split.
+    frequency = materialize(index.groupBy("term").agg(F.count("*").alias("df")), "frequency")
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))
     windows = items.select("ikey", "words", F.explode(starts).alias("start"))
     places = windows.select("ikey", "start", F.posexplode(F.slice("words", F.col("start") + 1, F.lit(window))).alias("k", "w"))
@@ -74,7 +75,8 @@ def alignments(index: DataFrame, items: DataFrame, probe: DataFrame, lists: int
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` with n_words, n_hit, items (sorted ids) and contaminated beside them."""
+    """The rows of ``docs`` with n_words, n_hit, items (sorted ids) and contaminated beside them (in place of columns so named)."""
+    docs = docs.drop("n_words", "n_hit", "items", "contaminated")
     items = materialize(items_of(benchmark), "items")
     index = build_index(docs, items)
     found = alignments(index, items, probes(index, items, window))
