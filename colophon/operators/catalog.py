@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colophon.functions.text import content_hash, record_id
@@ -91,3 +91,19 @@ def known_hashes(hashes: DataFrame, store: DataFrame) -> DataFrame:
 def layout(df: DataFrame, path: str) -> None:
     """Snapshots in folders by network and snapshot, so that either prunes the scan."""
     df.repartition("network", "snapshot_id").write.partitionBy("network", "snapshot_id").mode("overwrite").parquet(path)
+
+
+def write_index(records: DataFrame, path: str, network: str) -> None:
+    """Put a network's records in the index, in place of those it had; other networks stay."""
+    records.withColumn("network", F.lit(network)).write.partitionBy("network").option("partitionOverwriteMode", "dynamic").mode("overwrite").json(path)
+
+
+def read_index(spark: SparkSession, path: str, network: str | None = None) -> DataFrame:
+    out = spark.read.json(path)
+    return out if network is None else out.where(F.col("network") == network)
+
+
+def unindex(spark: SparkSession, path: str, network: str) -> None:
+    """Take a network out of the index: its folder goes."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/network={network}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -286,3 +286,13 @@ def test_refused_updates_leave_the_old_version(spark):
     kept = lambda **k: sorted(r["identifier"] for r in harvest.changes(rows, prevalid=~F.col("metadata").contains("bad"), **k).collect())
     assert kept(incremental=True) == ["b"] and kept(incremental=False) == []
     assert harvest.is_incremental(True, False) and not harvest.is_incremental(True, True) and not harvest.is_incremental(False, False)
+
+
+def test_index(spark, tmp_path, records):
+    path = str(tmp_path / "index")
+    catalog.write_index(facts.index_columns(records), path, "A")
+    catalog.write_index(facts.index_columns(records), path, "B")
+    catalog.write_index(facts.index_columns(facts.to_index(records)), path, "A")
+    assert (catalog.read_index(spark, path, "A").count(), catalog.read_index(spark, path, "B").count()) == (2, 3)
+    catalog.unindex(spark, path, "B")
+    assert catalog.read_index(spark, path).count() == 2
