@@ -26,11 +26,11 @@ _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where the setting is missing."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by spark.checkpoint.dir, or set on the context; a temporary one only where neither is, as in tests."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
-        place = tempfile.mkdtemp(prefix="colophon-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="colophon-"))
+        place = spark.sparkContext.getCheckpointDir()
     return place.rstrip("/")
 
 

@@ -24,6 +24,8 @@ from colophon.llm.common import materialize, own_columns
 SHARDS = 16
 #: Ranges a shard, and sampled records a range (their expected number; it bounds what the driver sees).
 PIECES, SAMPLED = 32, 8
+#: More ranges are cut where one would hold more rows, up to a bound, as the splitters travel in the plan.
+ROWS_PER_RANGE, MOST_PIECES = 2_000_000, 256
 #: A range over so many shares is subdivided.
 OVERFULL = 2.0
 
@@ -58,7 +60,9 @@ def _range_of(key: Column, cuts: list[int], fan: int = 24) -> Column:
 def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, pieces: int = PIECES) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law)."""
     records = materialize(keyed(docs), "keyed")
-    total = records.agg(F.sum("size").alias("t")).first()["t"] or 0
+    sums = records.agg(F.sum("size").alias("t"), F.count("*").alias("n")).first()
+    total = sums["t"] or 0
+    pieces = min(max(pieces, -(-sums["n"] // (shards * ROWS_PER_RANGE))), MOST_PIECES)
     share = total / shards
     large = F.col("size") > share / 100
 
