@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from colophon.shipping import ship
+
 #: Text bytes handled by one numpy step, so that a task's memory does not follow the size of its partition.
 STEP_BYTES = 1_000_000
 
@@ -49,7 +51,11 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches small enough that long texts do not fill a Python worker; larger settings are lowered."""
+    """Arrow batches small enough that long texts do not fill a Python worker; larger settings are lowered.
+
+    Called by every operator that runs Python, so the package is sent to the executors here too.
+    """
+    ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
         now = spark.conf.get(key, None)
         if now is None or not now.isdigit() or int(now) == 0 or int(now) > most:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colophon.llm.common import own_columns
+from colophon.llm.common import bounded_batches, own_columns
 
 SCALE = 1024
 K = 10
@@ -113,6 +113,7 @@ def _search_groups(k: int, scale: int):
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, group: int = GROUP) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query, its own row left out."""
+    bounded_batches(candidates.sparkSession)
     cand = usable(candidates)
     asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     groups = max(-(-cand.count() // group), 6)
