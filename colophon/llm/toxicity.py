@@ -15,7 +15,7 @@ scores; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +31,12 @@ from colophon.llm.labelled import PER_CLASS, fit_logistic, held_out, sample
 #: Words in a window; bytes of the ordinary dictionary; distances that are counted.
 WINDOW, ORDINARY_BYTES, DISTANCES = 1, 65_536, (2, 3, 4, 5, 6)
 THRESHOLD = 0.3
-#: Log-likelihood ratio over which a window stands out (chance: one in 2,000).
-SURPRISE = 12.0
+#: Share of the windows in the toxic dictionary that chance may have put there.
+FALSE_SHARE = 0.1
+#: Times that a segment must be more frequent in toxic texts, so that a common language is no evidence.
+LIFT = 5
+#: Bytes of the shortest segment, and bands of three min-hashes that tell near copies.
+LEAST_SEGMENT, BANDS = 6, 8
 FOLDS = 3
 
 _CARRIER = bytes(range(1, 25))
@@ -84,48 +88,84 @@ def features(distances: np.ndarray) -> list[float]:
     return [math.log1p(c) for c in counts] + [math.log1p(1000 * c / n) for c in counts] + [max(float(distances.max()), 0.0) / 4 if len(distances) else 0.0]
 
 
-def _stand_out(toxic: list[str], ordinary: list[str], size: int) -> list[bytes]:
-    """Windows of toxic texts that chance would not put in so many of them, the most frequent last."""
-    n1, n0 = len(toxic), len(ordinary)
-    c1, c0 = (Counter(w for t in texts for w in set(windows(t, size))) for texts in (toxic, ordinary))
-
-    def term(x: float, expected: float) -> float:
-        return x * math.log(x / expected) if x else 0.0
-
-    def surprise(a: int, b: int) -> float:
-        p = (a + b) / (n1 + n0)
-        return 2 * (term(a, n1 * p) + term(b, n0 * p) + term(n1 - a, n1 * (1 - p)) + term(n0 - b, n0 * (1 - p)))
-
-    return sorted((w for w, a in c1.items() if a * n0 > 5 * c0[w] * n1 and surprise(a, c0[w]) > SURPRISE), key=lambda w: (c1[w], w))
-
-
-def _dictionaries(texts: dict[int, list[str]], size: int) -> tuple[bytes, bytes]:
-    """The toxic and the ordinary dictionary."""
-    toxic = b"".join(_stand_out(texts[1], texts[0], size))[-ORDINARY_BYTES:]
-    every = [w for t in texts[0] for w in windows(t, size)]
+def _segments(text: str, size: int) -> set[bytes]:
+    """The windows of a text and their beginnings, from which word stems can be learnt."""
+    return {w[:k] for w in set(windows(text, size)) for k in (*range(LEAST_SEGMENT, len(w)), len(w))}
+
+
+def _one_of_each(texts: list[str], size: int) -> list[int]:
+    """Positions of texts that are no near copy of an earlier one, by min-hashes in bands; copies would pass for evidence."""
+    rng = np.random.default_rng(11)
+    factor, shift = rng.integers(1, 2**31, (2, BANDS * 3), dtype=np.uint64) | np.uint64(1)
+    seen, kept = set(), []
+    for i, text in enumerate(texts):
+        x = np.array([zlib.crc32(w) for w in set(windows(text, size))] or [0], np.uint64)
+        least = ((x[:, None] * factor + shift) & np.uint64(0xFFFFFFFF)).min(axis=0)
+        bands = {(b, *least[3 * b : 3 * b + 3].tolist()) for b in range(BANDS)}
+        if not bands & seen:
+            kept.append(i)
+        seen |= bands
+    return kept
+
+
+def _stand_out(found: list[np.ndarray], toxic: np.ndarray, names: list[bytes]) -> list[bytes]:
+    """Segments that chance would not put in so many toxic texts, the most frequent last. ``found``: each text's segment numbers."""
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    c1, c0 = (np.bincount(np.concatenate([f for f, t in zip(found, toxic) if t == y] or [np.zeros(0, np.int64)]), minlength=len(names)).astype(float) for y in (True, False))
+    p = (c1 + c0) / (n1 + n0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = [np.where(x > 0, x * np.log(x / e), 0.0) for x, e in ((c1, n1 * p), (c0, n0 * p), (n1 - c1, n1 * (1 - p)), (n0 - c0, n0 * (1 - p)))]
+    surprise = np.maximum(2 * sum(terms), 0.0)
+    # One-sided chances; of the ranked segments as many as keep the share of chance finds under FALSE_SHARE.
+    tested = np.flatnonzero((c1 > 1) & (c1 * n0 > LIFT * c0 * n1))
+    chance = np.array([0.5 * math.erfc(math.sqrt(x / 2)) for x in surprise[tested]])
+    order = np.argsort(chance, kind="stable")
+    passes = np.flatnonzero(chance[order] <= FALSE_SHARE * np.arange(1, len(order) + 1) / max(int((c1 > 1).sum()), 1))
+    chosen = tested[order[: passes[-1] + 1]] if len(passes) else tested[:0]
+    counts = {names[i]: c1[i] for i in chosen.tolist()}
+    # A beginning is needed only where it is found more often than what it begins.
+    longer: dict[bytes, float] = {}
+    for name, c in counts.items():
+        for k in range(LEAST_SEGMENT, len(name)):
+            longer[name[:k]] = max(longer.get(name[:k], 0), c)
+    return sorted((w for w, c in counts.items() if c > longer.get(w, 0)), key=lambda w: (counts[w], w))
+
+
+def _ordinary(texts: list[str], size: int) -> bytes:
+    every = [w for t in texts for w in windows(t, size)]
     every = every[:: max(1, len(every) // 300_000)]
     try:
-        return toxic, zstandard.train_dictionary(ORDINARY_BYTES, every).as_bytes()
+        return zstandard.train_dictionary(ORDINARY_BYTES, every).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: it is the dictionary itself
-        return toxic, b"".join(every)[-ORDINARY_BYTES:]
+        return b"".join(every)[-ORDINARY_BYTES:]
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, size: int = WINDOW) -> Model:
-    """Fit on at most ``per_class`` documents of each class."""
+    """Fit on at most ``per_class`` documents of each class, near copies left out."""
     rows = sample(docs, labels, "toxic", per_class)
-    texts = {y: rows.loc[rows["label"] == y, "text"].tolist() for y in (0, 1)}
-    if min(map(len, texts.values())) < 3:
+    kept = [i for y in (0, 1) for at in [np.flatnonzero(rows["label"] == y)] for i in at[_one_of_each(rows["text"].iloc[at].tolist(), size)].tolist()]
+    texts, toxic = rows["text"].iloc[kept].tolist(), rows["label"].iloc[kept].to_numpy() == 1
+    if min(toxic.sum(), (~toxic).sum()) < 3:
         return Model(b"", b"", None, size)
+    numbers: dict[bytes, int] = {}
+    found = [np.array([numbers.setdefault(g, len(numbers)) for g in sorted(_segments(t, size))], np.int64) for t in texts]
+    names = list(numbers)
+
+    def dictionaries(take: np.ndarray) -> tuple[bytes, bytes]:
+        at = np.flatnonzero(take)
+        segments = _stand_out([found[i] for i in at], toxic[at], names)
+        return b"".join(segments)[-ORDINARY_BYTES:], _ordinary([texts[i] for i in at if not toxic[i]], size)
+
     # Each third is measured with dictionaries made of the others, which calibrates; the final ones are made of all.
-    x, y = [], []
-    for fold in range(FOLDS):
-        made = Model(*_dictionaries({k: [t for i, t in enumerate(ts) if i % FOLDS != fold] for k, ts in texts.items()}, size), None, size)
-        of = made.distances()
-        for k, ts in texts.items():
-            for t in ts[fold::FOLDS]:
-                x.append(features(of(windows(t, size))))
-                y.append(k)
-    return Model(*_dictionaries(texts, size), fit_logistic(np.array(x), np.array(y, float)), size)
+    fold = np.zeros(len(texts), np.int64)
+    for y in (False, True):
+        fold[toxic == y] = np.arange((toxic == y).sum()) % FOLDS
+    x = np.zeros((len(texts), len(features(np.zeros(0, np.int64)))))
+    for k in range(FOLDS):
+        of = Model(*dictionaries(fold != k), None, size).distances()
+        for i in np.flatnonzero(fold == k):
+            x[i] = features(of(windows(texts[i], size)))
+    return Model(*dictionaries(np.ones(len(texts), bool)), fit_logistic(x, toxic.astype(float)), size)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
