@@ -53,9 +53,12 @@ def test_flagship(spark):
     assert catalogue.flagship(spark, SF).count() > 0
 
 
-def test_entry_imports_without_the_optional_folders(tmp_path):
+@pytest.mark.parametrize("leave_folder", [False, True])
+def test_entry_imports_without_the_optional_folders(tmp_path, leave_folder):
     for part in ("colophon", "__spark_entry__.py"):
         subprocess.run(["cp", "-r", REPO / part, tmp_path], check=True)
     subprocess.run(["rm", "-rf", tmp_path / "colophon" / "llm"], check=True)
+    if leave_folder:
+        (tmp_path / "colophon" / "llm").mkdir()
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op1_') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
