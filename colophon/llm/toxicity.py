@@ -35,8 +35,8 @@ THRESHOLD = 0.3
 FALSE_SHARE = 0.1
 #: Times that a segment must be more frequent in toxic texts, so that a common language is no evidence.
 LIFT = 5
-#: Bytes of the shortest segment, and bands of three min-hashes that tell near copies.
-LEAST_SEGMENT, BANDS = 6, 8
+#: Bytes of the shortest segment; bands of min-hashes, and hashes in a band, that tell near copies (0.8 alike or more).
+LEAST_SEGMENT, BANDS, BAND_ROWS = 6, 12, 6
 FOLDS = 3
 
 _CARRIER = bytes(range(1, 25))
@@ -96,15 +96,15 @@ def _segments(text: str, size: int) -> set[bytes]:
 def _one_of_each(texts: list[str], size: int) -> list[int]:
     """Positions of texts that are no near copy of an earlier one, by min-hashes in bands; copies would pass for evidence."""
     rng = np.random.default_rng(11)
-    factor, shift = rng.integers(1, 2**31, (2, BANDS * 3), dtype=np.uint64) | np.uint64(1)
+    factor, shift = rng.integers(1, 2**31, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
     seen, kept = set(), []
     for i, text in enumerate(texts):
         x = np.array([zlib.crc32(w) for w in set(windows(text, size))] or [0], np.uint64)
         least = ((x[:, None] * factor + shift) & np.uint64(0xFFFFFFFF)).min(axis=0)
-        bands = {(b, *least[3 * b : 3 * b + 3].tolist()) for b in range(BANDS)}
+        bands = {(b, *least[BAND_ROWS * b : BAND_ROWS * (b + 1)].tolist()) for b in range(BANDS)}
         if not bands & seen:
             kept.append(i)
-        seen |= bands
+            seen |= bands
     return kept
 
 
