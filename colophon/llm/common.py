@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +16,9 @@ from colophon.shipping import ship
 #: Text bytes handled by one numpy step, so that a task's memory does not follow the size of its partition.
 STEP_BYTES = 1_000_000
 
+#: MB of a post-shuffle partition in steps that write large tables.
+LARGE = 32
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _IS_WORD = ~_SPACE
@@ -36,20 +38,29 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage is cut and lost executors do no harm."""
+def materialize(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage is cut and lost executors do no harm.
+
+    The write's shuffle files go as soon as it is done. ``large`` asks for post-shuffle partitions of ``LARGE`` MB
+    at least, and so for few files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if large and spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) < LARGE << 20:
+        wanted[size] = f"{LARGE}m"
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        df.write.parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose results are written: it does so when their plans are collected as garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches small enough that long texts do not fill a Python worker; larger settings are lowered.
 

@@ -13,10 +13,12 @@ only smaller doc_ids count; an empty table gives an empty result; extra columns
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,23 +84,30 @@ def _kept(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep: np.ndarr
 _SORTED = "doc_id long, n_words long, n_removed long, kept string, text string, anchors array<long>"
 
 
-def _sort_out(window: int, base: int):
+def _shown(kept: bytes, digests: bool) -> str:
+    return hashlib.sha256(kept).hexdigest() if digests else kept.decode()
+
+
+def _sort_out(window: int, digests: bool):
     """Documents without a candidate and exact copies are done here; of the others text and candidates go on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_steps(batches, "text"):
-            out = {c: [] for c in ("doc_id", "n_words", "n_removed", "kept", "text", "anchors")}
-            for doc, text, copy, anchors in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "copy", "anchors"))):
+            out = {c: [] for c in ("n_words", "n_removed", "kept", "open")}
+            anchors = part.column("anchors")
+            some = pc.fill_null(pc.list_value_length(anchors), 0).to_pylist()
+            for text, copy, n_anchors in zip(part.column("text").to_pylist(), part.column("copy").to_pylist(), some):
                 words = (text or "").encode().split()
-                n, go_on = len(words), bool(anchors) and not copy
-                out["doc_id"].append(doc)
-                out["n_words"].append(n)
+                n, go_on = len(words), n_anchors > 0 and not copy
                 gone = n if copy and n >= window else 0
+                out["n_words"].append(n)
                 out["n_removed"].append(gone)
-                out["kept"].append(None if go_on else "" if gone else b" ".join(words).decode())
-                out["text"].append(text if go_on else None)
-                out["anchors"].append(anchors if go_on else None)
-            yield pa.record_batch([pa.array(out["doc_id"], pa.int64()), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string()), pa.array(out["text"], pa.string()), pa.array(out["anchors"], pa.list_(pa.int64()))], names=list(out))
+                out["kept"].append(None if go_on else _shown(b"" if gone else b" ".join(words), digests))
+                out["open"].append(go_on)
+            still = pa.array(out.pop("open"), pa.bool_())
+            # take() with null places leaves null lists, without a Python object for each anchor.
+            places = pc.if_else(still, pa.array(range(part.num_rows), pa.int64()), pa.scalar(None, pa.int64()))
+            yield pa.record_batch([part.column("doc_id"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string()), part.column("text").take(places), anchors.take(places)], names=["doc_id", "n_words", "n_removed", "kept", "text", "anchors"])
 
     return run
 
@@ -110,9 +119,11 @@ def _windows_with(part: pa.RecordBatch, window: int, base: int):
     rows = np.searchsorted(word_offs, at, side="right") - 1
     keep = np.zeros(len(at), bool)
     bounds = np.searchsorted(rows, np.arange(part.num_rows + 1))
-    for i, anchors in enumerate(part.column("anchors").to_pylist()):
+    anchors = part.column("anchors")
+    ends_of, known = anchors.offsets.to_numpy(), anchors.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    for i in range(part.num_rows):
         a, b = bounds[i], bounds[i + 1]
-        keep[a:b] = np.isin(least[a:b], np.array(anchors or [], np.int64).view(np.uint64))
+        keep[a:b] = np.isin(least[a:b], known[ends_of[i] : ends_of[i + 1]])
     at, rows = at[keep], rows[keep]
     # 96 bits are enough to tell windows apart at any size of input, and less to shuffle than 128.
     h1, h2 = hash_windows(words, window, 1), hash_windows(words, window, 2)
@@ -133,33 +144,47 @@ def _next_level(window: int, base: int):
     return run
 
 
-def _cut(window: int, base: int):
+def _among(h1: np.ndarray, h2: np.ndarray, known1: np.ndarray, known2: np.ndarray) -> np.ndarray:
+    """Which (h1, h2) are among the known pairs."""
+    order = np.lexsort((known2, known1))
+    known1, known2 = known1[order], known2[order]
+    left, right = np.searchsorted(known1, h1, "left"), np.searchsorted(known1, h1, "right")
+    out = right > left
+    out[out] = known2[left[out]] == h2[out]
+    for i in np.flatnonzero((right - left > 1) & ~out):  # pairs that share their first half
+        out[i] = (known2[left[i] : right[i]] == h2[i]).any()
+    return out
+
+
+def _cut(window: int, base: int, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_steps(batches, "text"):
             data, starts, ends, word_offs, at, rows, h1, h2 = _windows_with(part, window, base)
             bounds = np.searchsorted(rows, np.arange(part.num_rows + 1))
             removed, kept = [], []
-            for i, hits in enumerate(part.column("hits").to_pylist()):
+            hits = part.column("hits")
+            ends_of, pairs = hits.offsets.to_numpy(), hits.values
+            known1, known2 = (pairs.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for i in range(part.num_rows):
                 a, b = bounds[i], bounds[i + 1]
                 lo, hi = word_offs[i], word_offs[i + 1]
                 delta = np.zeros(hi - lo + 1, np.int64)
-                if hits:
-                    seen = {(x["h1"], x["h2"]) for x in hits}
-                    for p in (p for p, x in zip(at[a:b].tolist(), zip(h1[a:b].tolist(), h2[a:b].tolist())) if x in seen):
-                        delta[p - lo] += 1
-                        delta[p - lo + window] -= 1
+                found = at[a:b][_among(h1[a:b], h2[a:b], known1[ends_of[i] : ends_of[i + 1]], known2[ends_of[i] : ends_of[i + 1]])] - lo
+                np.add.at(delta, found, 1)
+                np.add.at(delta, found + window, -1)
                 gone = np.cumsum(delta[:-1]) > 0
                 removed.append(int(gone.sum()))
-                kept.append(_kept(data, starts[lo:hi], ends[lo:hi], ~gone).decode())
+                kept.append(_shown(_kept(data, starts[lo:hi], ends[lo:hi], ~gone), digests))
             yield pa.record_batch([part.column("doc_id"), part.column("n_words"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE, digests: bool = False) -> DataFrame:
     """Remove each word covered by a window of words that also starts in a document with a smaller doc_id.
 
-    Returns doc_id, n_words, n_removed and kept, the words that stay joined by single spaces.
+    Returns doc_id, n_words, n_removed and kept, the words that stay joined by single spaces. With ``digests`` kept
+    is the SHA-256 of that text, and texts that are done are not written between the steps.
     """
     if not 0 < base <= window:
         raise ValueError("base must lie between 1 and window")
@@ -167,22 +192,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> D
     docs = own_columns(docs, "doc_id", "text")
     known = docs.where("doc_id IS NOT NULL")
     ids = known.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    firsts = materialize(ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "copies")
+    firsts = materialize(ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "copies", large=True)
     copies = ids.join(firsts, "digest").where("doc_id > first").select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("long").alias("h"))
 
     # Level one: short runs that two different texts share.
     anchors = known.mapInArrow(_first_level(window, base), "h long, doc_id long, mark long")
-    shared = materialize(anchors.groupBy("h").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("h"), "level-short")
+    shared = materialize(anchors.groupBy("h").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("h"), "level-short", large=True)
     found = anchors.select("h", "doc_id").join(shared, "h").select("doc_id", F.lit(False).alias("copy"), "h")
-    notes = found.unionByName(copies).groupBy("doc_id").agg(F.max("copy").alias("copy"), F.collect_set("h").alias("anchors"))
-    sorted_out = materialize(docs.join(notes, "doc_id", "left").mapInArrow(_sort_out(window, base), _SORTED), "sorted-out")
+    notes = found.unionByName(copies).groupBy("doc_id").agg(F.max("copy").alias("copy"), F.collect_list("h").alias("anchors"))
+    sorted_out = materialize(docs.join(notes, "doc_id", "left").mapInArrow(_sort_out(window, digests), _SORTED), "sorted-out", large=True)
 
     # Level two: the whole window, in documents that have candidates.
     open_docs = sorted_out.where("anchors IS NOT NULL")
     windows = open_docs.select("doc_id", "text", "anchors").mapInArrow(_next_level(window, base), "h1 long, h2 int, doc_id long")
-    repeated = materialize(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "level-window")
-    hits = windows.join(repeated, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("hits"))
-    cut = open_docs.select("doc_id", "n_words", "text", "anchors").join(hits, "doc_id", "left").mapInArrow(_cut(window, base), "doc_id long, n_words long, n_removed long, kept string")
+    repeated = materialize(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "level-window", large=True)
+    hits = windows.join(repeated, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("hits"))
+    cut = open_docs.select("doc_id", "n_words", "text", "anchors").join(hits, "doc_id", "left").mapInArrow(_cut(window, base, digests), "doc_id long, n_words long, n_removed long, kept string")
     return sorted_out.where("anchors IS NULL").select("doc_id", "n_words", "n_removed", "kept").unionByName(cut)
 
 
@@ -210,7 +235,6 @@ def longest_repeats(docs: DataFrame, start: int = WINDOW) -> DataFrame:
         live, length = docs.join(kept.select("doc_id"), "doc_id", "left_semi"), 2 * length
 
 
-def digest(df: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
     """The columns of the query contract."""
-    return df.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
-
+    return remove_repeats(docs, window, base, digests=True).withColumnRenamed("kept", "kept_sha256")
