@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.llm.common import own_columns
 
-#: Rows of a class that a classifier is fitted on at most, and the longest text taken for fitting.
-PER_CLASS, MAX_CHARS = 3000, 20_000
+#: Rows of a class that a classifier is fitted on at most, and their characters together.
+PER_CLASS, CLASS_CHARS = 3000, 24_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -18,12 +18,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> pd.DataFrame:
-    """doc_id, text and label of at most ``per_class`` rows of each class, by hash of the id, in one fixed order."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, class_chars: int = CLASS_CHARS) -> pd.DataFrame:
+    """doc_id, text and label of at most ``per_class`` rows of each class, by hash of the id, in one fixed order.
+
+    Of texts that would bring their class over ``class_chars`` characters none is taken, so the driver's memory is bounded;
+    texts of any other length take part whole.
+    """
     known = own_columns(labels, "doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
-    chosen = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    order = F.xxhash64("doc_id")
+    chosen = [known.where(F.col("label") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_class ids
-    rows = own_columns(docs, "doc_id", "text").where(F.length("text") <= max_chars).join(ids, "doc_id").toPandas()
+    texts = own_columns(docs, "doc_id", "text").where("text IS NOT NULL").join(ids, "doc_id").withColumn("chars", F.length("text"))
+    # The rows are 2 * per_class but for repeated ids, so a window over each class is bounded too.
+    rank = Window.partitionBy("label").orderBy(order, "doc_id", F.xxhash64("text"))
+    rows = texts.withColumn("before", F.sum("chars").over(rank)).where(F.col("before") <= class_chars).select("doc_id", "text", "label").toPandas()
     rows["order"] = pd.util.hash_array(rows["doc_id"].to_numpy(np.int64))
     return rows.sort_values(["order", "doc_id", "text"]).drop_duplicates("text").reset_index(drop=True)[["doc_id", "text", "label"]]
 

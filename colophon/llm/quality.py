@@ -7,8 +7,9 @@ few figures of the pooling itself (its norm, repeats of the word before, length)
 layer gives a probability, whose temperature is calibrated on documents that it did not learn from.
 
 Defined cases: null and empty texts are pooled to zero and scored like that; without labels of both classes
-every score is 0.5; a null doc_id is scored and not held out; repeated rows get equal scores; an empty table
-gives an empty result; extra columns are ignored.
+every score is 0.5; a null doc_id is scored and not held out; repeated rows get equal scores, whatever
+rows they are scored with; a very long text is pooled whole, in pieces of ``PIECE`` words; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from colophon.llm.labelled import PER_CLASS, held_out, sample
 #: Rows of the vector table, dimensions, non-zero places of an index vector, neighbours on either side, hidden units.
 ROWS, DIM, PLACES, REACH, HIDDEN = 1 << 14, 48, 6, 2, 24
 THRESHOLD = 0.7
+#: Words that are pooled at once.
+PIECE = 1 << 17
 _U = np.uint64
 
 _CLASS = np.full(256, 16, np.uint8)  # other signs
@@ -64,15 +67,25 @@ def _pool(table: np.ndarray, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n = np.diff(word_offs).astype(np.float64)
     pooled = np.zeros((len(n), DIM))
     full = np.flatnonzero(n > 0)
-    if len(full):
-        for rows in (words, shapes):
-            pooled[full] += np.add.reduceat(table[rows], word_offs[:-1][full], axis=0)
-        pooled[full] /= n[full, None]
+    # Long texts are summed in pieces from their own start, the others together.
+    for i in full[n[full] > PIECE].tolist():
+        for a in range(word_offs[i], word_offs[i + 1], PIECE):
+            b = min(a + PIECE, word_offs[i + 1])
+            pooled[i] += table[words[a:b]].sum(axis=0, dtype=np.float64) + table[shapes[a:b]].sum(axis=0, dtype=np.float64)
+    short = full[n[full] <= PIECE]
+    for group in np.array_split(short, max(1, int(n[short].sum()) // PIECE)):
+        if len(group):
+            # Offsets inside the group's words; long texts between them make words of no document.
+            at = np.concatenate([np.arange(word_offs[i], word_offs[i + 1]) for i in group])
+            first = np.concatenate([[0], np.cumsum(n[group][:-1])]).astype(np.int64)
+            for rows in (words, shapes):
+                pooled[group] += np.add.reduceat(table[rows[at]], first, axis=0)
+    pooled[full] /= n[full, None]
     same = np.zeros(len(h) + 1)
     same[1:-1] = h[1:] == h[:-1] if len(h) else same[1:-1]
     ends = np.concatenate([[0.0], np.cumsum(same[: len(h)])])
     repeats = (ends[word_offs[1:]] - ends[word_offs[:-1]]) / np.maximum(n, 1)
-    norm = np.linalg.norm(pooled, axis=1)
+    norm = np.sqrt(_product(pooled**2, np.ones(DIM)))
     return np.column_stack([pooled, norm, repeats, np.log1p(n) / 8, np.log1p(np.diff(offs)) / 10])
 
 
@@ -104,6 +117,14 @@ def context_table(texts: list[str]) -> np.ndarray:
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+def _product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, summed in one fixed order for each row: a matrix product rounds by the rows that share its batch."""
+    total = np.zeros(x.shape[:1] + w.shape[1:])
+    for j in range(x.shape[1]):
+        total += np.multiply.outer(x[:, j], w[j])
+    return total
+
+
 @dataclass
 class Network:
     """Standardised input, tanh layer, logistic output and temperature."""
@@ -117,7 +138,7 @@ class Network:
     temperature: float = 1.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(((x - self.mean) / self.scale) @ self.w1 + self.b1) @ self.w2 + self.b2
+        return _product(np.tanh(_product((x - self.mean) / self.scale, self.w1) + self.b1), self.w2) + self.b2
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
