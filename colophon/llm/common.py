@@ -30,12 +30,30 @@ _U = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or set on the context; a temporary one only where neither is, as in tests."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder named by spark.checkpoint.dir, or set on the context. Without either a temporary one is set, in local mode alone."""
+    context = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not place:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="colophon-"))
-        place = spark.sparkContext.getCheckpointDir()
-    return place.rstrip("/")
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="colophon-"))
+        place = context.getCheckpointDir()
+    return f"{place.rstrip('/')}/colophon-{context.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def discard(written: DataFrame) -> None:
+    """Remove a table of ``materialize`` that no later step reads."""
+    _delete(written.sparkSession, written._written_to)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables that this application has written; results that read them can then no longer be computed."""
+    _delete(spark, shared_dir(spark))
 
 
 def materialize(df: DataFrame, name: str, large: bool = False) -> DataFrame:
@@ -58,7 +76,9 @@ def materialize(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def bounded_batches(spark: SparkSession) -> None:
