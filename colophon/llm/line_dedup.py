@@ -1,13 +1,15 @@
 """Line dedup by distinct-site spread, native: DataFrame functions only.
 
-Every line's hash gets a HyperLogLog sketch of the sites (``source``) that show it; sketches merge by aggregation.
-Lines whose estimate is clearly over ``min_sites`` are boilerplate; lines near the threshold get an exact count
-of distinct sites, taken from a table that is distinct by line and site before it is counted. Of a boilerplate
-line only the first occurrence in the document with the smallest doc_id stays; all others are removed.
+Every line gets a HyperLogLog sketch of the sites (``source``) that show it, straight from the lines: sketches are
+small, and partial ones of every task merge by aggregation. Lines whose estimate is clearly over ``min_sites`` are
+boilerplate; only of lines near the threshold the distinct sites are counted exactly, from a table that is distinct by
+line and site. Of a boilerplate line only the first occurrence in the document with the smallest doc_id stays; all
+others are removed. Lines are told apart by 128 bits of hash.
 
 Defined cases: a null text has no lines and stays null; an empty text is one blank line; blank lines are never
-boilerplate; a null site is one site of its own; a null doc_id comes after all others; rows that repeat a doc_id
-are treated alike; an empty table gives an empty result; extra columns are kept by ``clean_lines`` and not used.
+boilerplate; a null site is one site of its own, apart from the empty one; a null doc_id comes after all others; rows
+that repeat a doc_id are treated alike; a very long text is handled whole, as one array of lines in one row; an empty
+table gives an empty result; extra columns are kept by ``clean_lines`` and not used.
 """
 
 from __future__ import annotations
@@ -23,26 +25,30 @@ NEAR = 0.25
 LG_K = 10
 
 
+def _key(line: Column) -> Column:
+    """128 bits of hash, by two seeds."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, site and hash of every line that is not blank."""
+    """doc_id, site and key of every line that is not blank; a sketch would pass over an empty site, so sites have a sign before them."""
     return (
         own_columns(docs, "doc_id", "text", "source")
-        .select("doc_id", F.coalesce("source", F.lit("")).alias("site"), F.explode(F.split("text", "\n", -1)).alias("line"))
+        .select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")).alias("site"), F.explode(F.split("text", "\n", -1)).alias("line"))
         .where(F.trim("line") != "")
-        .select("doc_id", "site", F.xxhash64("line").alias("h"))
+        .select("doc_id", "site", _key(F.col("line")).alias("h"))
     )
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR) -> DataFrame:
     """h and first_doc of the lines on at least ``min_sites`` sites."""
     lines = _lines(docs)
-    # Distinct pairs come first: a hot line is one row for each site and task, and a sketch never sees repeats.
-    pairs = lines.groupBy("h", "site").agg(F.min("doc_id").alias("first_doc"))
-    sketched = pairs.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min("first_doc").alias("first_doc"))
+    sketched = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min("doc_id").alias("first_doc"))
     spread = materialize(sketched.where(F.col("sites") >= min_sites * (1 - near)), "spread")
     clear = spread.where(F.col("sites") > min_sites * (1 + near)).select("h", "first_doc")
     close = spread.where(F.col("sites") <= min_sites * (1 + near)).select("h", "first_doc")
-    exact = lines.select("h", "site").join(close, "h").groupBy("h", "site").agg(F.min("first_doc").alias("first_doc")).groupBy("h").agg(F.count("*").alias("n"), F.min("first_doc").alias("first_doc"))
+    pairs = lines.select("h", "site").join(close, "h").groupBy("h", "site").agg(F.min("first_doc").alias("first_doc"))
+    exact = pairs.groupBy("h").agg(F.count("*").alias("n"), F.min("first_doc").alias("first_doc"))
     return materialize(clear.unionByName(exact.where(F.col("n") >= min_sites).select("h", "first_doc")), "boilerplate")
 
 
@@ -57,7 +63,7 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     names = {c: f"d{i}" for i, c in enumerate(docs.columns)}
     text = F.col(names["text"])
     parts = joined.select(*[docs[c].alias(n) for c, n in names.items()], "gone", "stay_once", F.split(docs["text"], "\n", -1).alias("lines"))
-    hashed = parts.withColumn("hashes", F.when(F.col("gone").isNotNull(), F.transform("lines", lambda x: F.xxhash64(x))))
+    hashed = parts.withColumn("hashes", F.when(F.col("gone").isNotNull(), F.transform("lines", _key)))
 
     def stays(x: Column, i: Column) -> Column:
         h = F.get("hashes", i)

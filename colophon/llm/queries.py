@@ -117,7 +117,7 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 
 OP9_SQL = """
 WITH l AS (
-  SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents
+  SELECT doc_id, coalesce('=' || source, '') AS site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents
 ), b AS (
   SELECT line, min(doc_id) AS first_doc FROM l WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT site) >= 10
 ), m AS (

@@ -96,7 +96,7 @@ def line_dedup(rows, min_sites=10):
     for d, t, s in rows:
         for line in (t or "").split("\n"):
             if line.strip(" "):
-                sites.setdefault(line, set()).add(s or "")
+                sites.setdefault(line, set()).add(s)
                 first[line] = min(first.get(line, big), big if d is None else d)
     out = []
     for d, t, _ in rows:

@@ -142,6 +142,19 @@ def test_line_dedup(both):
         same(line_dedup.digest(docs, sites), brute.line_dedup(rows, sites))
 
 
+def test_a_null_site_is_not_the_empty_one(spark):
+    rows = [(1, "x\ny", None), (2, "x", ""), (3, "y", None), (4, "z\nz", "a"), (5, "z", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    same(line_dedup.digest(docs, 2), brute.line_dedup(rows, 2))
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.digest(docs, 2).collect()} == {1: 0, 2: 1, 3: 0, 4: 1, 5: 1}
+
+
+def test_sites_near_the_threshold_are_counted_exactly(spark):
+    rows = [(i, "\n".join(f"line {n}" for n in range(5, 15) if i < n), f"site {i}") for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    same(line_dedup.digest(docs), brute.line_dedup(rows))
+
+
 def test_line_dedup_keeps_other_columns(awkward):
     _, docs = awkward
     out = line_dedup.clean_lines(docs)
