@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from colophon.llm import decontam, line_dedup, packing, quality, secrets, sharding, simhash, substring_dedup, topk, toxicity
 
 
@@ -131,12 +130,8 @@ FROM m GROUP BY doc_id
 """
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_packing, op4_quality, op5_simhash, op6_secrets, op7_decontamination, op8_topk, op9_line_dedup, op10_sharding, pipeline)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_packing, op4_quality, op5_simhash, op6_secrets, op7_decontamination, op8_topk, op9_line_dedup, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,14 +17,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colophon.llm.common import own_columns
+from colophon.llm.common import materialize, own_columns
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 #: Runs of under 24 hex digits fail anyway, so they need not be cut out first.
 HEX = r"[0-9a-f]{24,}"
-#: Candidates of the Markov models.
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Candidates of the Markov models: runs of 20 characters and more. A sign of equality parts a name from its value, so it ends a run.
+RUN = r"[A-Za-z0-9+/_-]{20,}"
 
 #: Matches that are placed together.
 BLOCK = 256
@@ -93,7 +93,8 @@ def labelled_sample(docs: DataFrame) -> DataFrame:
     random = spark.range(RANDOM_STRINGS).select(F.when(kind == 0, raw).when(kind == 1, F.substr(seed, F.lit(1), F.lit(32))).otherwise(F.upper(F.regexp_replace(raw, "[+/]", ""))).alias("s"), F.lit(True).alias("random"))
     # The ids are chosen first, so that no text goes through the one task that picks them.
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    # Written once: both passes of the training read these rows, and no pattern is searched for in other texts.
+    some = materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "sample")
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0))
     # Identifiers: runs of words written solid, in snake case and in kebab case.
     fours = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 4).cast("int"))

@@ -228,18 +228,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE, dige
     runs = two.where("windows IS NULL").select("doc_id", "mark", "start", F.lit(2 * window).alias("size"))
 
     # Longer and longer runs, until no candidates survive.
-    alive, words = two.where("size(doubled) > 0").select("anchor", "doc_id", "mark", "doubled"), 2 * window
-    before = None
+    alive, words, before = two.where("size(doubled) > 0").select("anchor", "doc_id", "mark", "doubled"), 2 * window, None
     while True:
         words *= 2
-        level = _extended(alive, F.get("doubled", F.lit(0)), "level-longer").where("first IS NOT NULL")
-        alive = materialize(level.select("anchor", "doc_id", "mark", F.slice("doubled", 2, F.size("doubled")).alias("doubled")), "level-longer", large=True)
+        keyed = alive.withColumn("run", F.get("doubled", F.lit(0)))
+        shared = _repeated(keyed, "anchor", "run").select("anchor", "run")
+        level = keyed.join(shared, ["anchor", "run"]).select("anchor", "doc_id", "mark", F.slice("doubled", 2, F.size("doubled")).alias("doubled"))
+        now = materialize(level, "level-longer", large=True)
         if before is not None:
             discard(before)
-        if alive.isEmpty():
+        found = materialize(now.select("doc_id", "mark").distinct().withColumn("length", F.lit(words)), "lengths")
+        if found.isEmpty():
             break
-        lengths.append(materialize(alive.select("doc_id", "mark").distinct().withColumn("length", F.lit(words)), "lengths"))
-        before, alive = alive, alive.where("size(doubled) > 0")
+        lengths.append(found)
+        before, alive = now, now.where("size(doubled) > 0")
 
     copied = F.lit(None).cast("int")
     notes = copies.select("doc_id", "mark", "copy", copied.alias("start"), copied.alias("size"), copied.alias("length"))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from colophon.llm import components, decontam, line_dedup, packing, queries, secrets, sharding, simhash, substring_dedup, topk
 from colophon.llm.common import hash_words, split_words, text_bytes
 from tests.conftest import SF
@@ -261,11 +262,14 @@ def test_sharding_of_one_hot_text(spark):
     assert len(sizes) == 16 and max(sizes) < 1.1 * min(sizes)
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+ALL = {**queries.queries(), "pipeline": corpus_pipeline.run}
+
+
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_empty_tables(spark, name, tmp_path):
     for table in ("documents", "benchmark", "labels", "embeddings"):
         spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
-    assert queries.queries()[name](spark, str(tmp_path)).count() == 0
+    assert ALL[name](spark, str(tmp_path)).count() == 0
 
 
 def test_word_hashes_follow_the_words_alone():
