@@ -175,7 +175,10 @@ def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _extended(rows: DataFrame, run: Column, name: str) -> DataFrame:
-    """``rows`` with ``first``, the smallest doc_id that has the run too, or null if no other has."""
+    """``rows`` with ``first``, the smallest doc_id that has the run too, or null if no other has.
+
+    What is repeated is written first: joined to a grouping of its own stage, rows of a hot run could not be split.
+    """
     keyed = rows.withColumn("run", run)
     shared = materialize(_repeated(keyed.where("run IS NOT NULL"), "anchor", "run"), f"{name}-repeated", large=True)
     return keyed.join(shared, ["anchor", "run"], "left")
@@ -231,9 +234,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE, dige
     alive, words, before = two.where("size(doubled) > 0").select("anchor", "doc_id", "mark", "doubled"), 2 * window, None
     while True:
         words *= 2
-        keyed = alive.withColumn("run", F.get("doubled", F.lit(0)))
-        shared = _repeated(keyed, "anchor", "run").select("anchor", "run")
-        level = keyed.join(shared, ["anchor", "run"]).select("anchor", "doc_id", "mark", F.slice("doubled", 2, F.size("doubled")).alias("doubled"))
+        level = _extended(alive, F.get("doubled", F.lit(0)), "level-longer").where("first IS NOT NULL").select("anchor", "doc_id", "mark", F.slice("doubled", 2, F.size("doubled")).alias("doubled"))
         now = materialize(level, "level-longer", large=True)
         if before is not None:
             discard(before)
