@@ -3,11 +3,12 @@
 Documents become token ids and an end id; only those longer than a sequence are cut, with the short piece first.
 In each round the open items (pieces, later underfull bins) are dealt to tasks of bounded size, packed there by
 best fit decreasing, and bins with at most ``slack`` free places leave; the underfull ones are the items of the
-next round, of fewer tasks. Rounds end when one task has seen all that was left, or when a round no longer
-merges anything worth while. A bin travels as its fill and a byte string of fixed-size member records.
+next round, of fewer tasks. Rounds end when one task has seen all that was left, or when a round leaves more than
+``STUCK`` of its items open: items that large do not fit together in any task, and as many rounds would follow as
+there are bins to spare (with 20,000 items a task the sequences of 10,000 documents are one more than the tokens need). A bin travels as its fill and a byte string of fixed-size member records.
 
 Defined cases: null and empty texts are the end id alone; a null doc_id is packed and returned as null; repeated
-rows are packed each; ties go to the bin opened first; an empty table gives an empty result; extra columns are ignored.
+rows are packed each; a very long text is cut into as many pieces as it needs, its ids in memory at once; ties go to the bin opened first; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ END_ID = 2
 #: Free places up to which a bin counts as nearly full, and the items that one task packs.
 SLACK = 2
 ITEMS_PER_TASK = 20_000
+#: Share of a round's items that stay open when packing has come to its end.
+STUCK = 0.98
 
 _MEMBER = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 #: This string is one id (50256) to the tokenizer; the rank file has no special tokens, so such texts go to the tokenizer itself.
@@ -171,10 +174,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK, per_ta
     count = pieces.where(F.col("length") < capacity).count()
     while count:
         tasks = -(-count // per_task)
-        dealt = items.repartition(tasks, F.xxhash64("members"))
+        # By row too, so that rows equal byte for byte are dealt to all tasks; the items are read from written tables, so a row keeps its number.
+        dealt = items.repartition(tasks, F.xxhash64("members", F.monotonically_increasing_id() % 1021))
         packed = materialize(dealt.mapInArrow(_pack(capacity, slack), "fill long, members binary, open boolean"), "packed")
         left = packed.where("open").count()
-        if tasks == 1 or left > 0.98 * count:
+        if tasks == 1 or left > STUCK * count:
             closed.append(packed.select("fill", "members"))
             break
         closed.append(packed.where("NOT open").select("fill", "members"))

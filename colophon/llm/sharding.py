@@ -2,14 +2,15 @@
 
 Records are ordered by a hash of their text and then of their id, so that equal texts lie together. A sample in
 which a record's chance follows its size gives quantile splitters; they cut the records into many small ranges
-(``PIECES`` a shard), and a range far over its share, such as a large group of equal texts, is subdivided by the
-id hash. Exact sizes of the ranges, a table of bounded length, then place every range on one line of bytes, a
+(``PIECES`` a shard), and a range far over its share, such as a large group of equal texts, is subdivided by a
+hash of id and row. Exact sizes of the ranges, a table of bounded length, then place every range on one line of bytes, a
 window inside each range places its records, and a shard is an equal share of the line. Records larger than a
 hundredth of a share (at most 100 a shard) are dealt out first, largest first to the emptiest shard,
 and the line is cut where each shard has the rest of its share; so sizes differ by about a hundredth at most,
 unless one record is larger than a share.
 
-Law: ``bytes``. Defined cases: a null text has size 1 and the CRC of the empty text; a null doc_id is placed and
+Law: ``bytes``. Equal texts lie side by side, but where a shard ends or an overfull range is divided the group is
+cut: only the sizes are promised. Defined cases: a very long text is one record, dealt out whole; a null text has size 1 and the CRC of the empty text; a null doc_id is placed and
 returned as null; repeated rows are placed each, ties in the order are broken arbitrarily among equal rows; an
 empty table gives an empty result; extra columns are ignored.
 """
@@ -59,7 +60,8 @@ def _range_of(key: Column, cuts: list[int], fan: int = 24) -> Column:
 
 def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, pieces: int = PIECES) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null under this law)."""
-    records = materialize(keyed(docs), "keyed")
+    # The row number is written with the record, so that it holds; it parts rows that are equal in all else.
+    records = materialize(keyed(docs).withColumn("row_hash", F.xxhash64(F.lit(13), "tie", F.monotonically_increasing_id())), "keyed")
     sums = records.agg(F.sum("size").alias("t"), F.count("*").alias("n")).first()
     total = sums["t"] or 0
     pieces = min(max(pieces, -(-sums["n"] // (shards * ROWS_PER_RANGE))), MOST_PIECES)
@@ -96,8 +98,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, pieces: int = PIECES)
     goal = max(rest_total / ranges, 1.0)
     sizes = ranged.groupBy("range").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > OVERFULL * goal)
     parts = sizes.select("range", F.ceil(F.col("bytes") / goal).cast("long").alias("parts"))
-    # Within an overfull range records go by the top bits of the id hash, an even split even of one hot key.
-    high = F.shiftrightunsigned("tie", 32)
+    # Within an overfull range records go by the top bits of the row's hash, an even split even of equal rows.
+    high = F.shiftrightunsigned("row_hash", 32)
     divided = ranged.join(F.broadcast(parts), "range", "left").withColumn("part", F.coalesce(F.shiftrightunsigned(high * F.col("parts"), 32), F.lit(0)).cast("long"))
     pieces_table = divided.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     line = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,7 +3,9 @@
 Candidates lie in groups of bounded size, dimension by dimension (vertical layout). For a query, partial scores
 grow one block of dimensions at a time; by Cauchy-Schwarz the remaining mass of query and candidate bounds what
 can still come, and candidates whose bound is under the k-th best score known are compacted away. Blocks of
-queries are sent to every group; nothing is broadcast, and a group's best k per query meet in one grouping.
+queries are sent to every group; nothing is broadcast, and a group's best k per query meet in one grouping. So what
+is shuffled grows as queries times groups; that is one vector for every 32,768 comparisons, and a grid of query and
+candidate blocks of the same memory would send as much, as each side then goes to all blocks of the other.
 
 Defined cases: rows with a null id or vector, or a null or non-finite component, take no part; a shorter vector
 counts as zero in the missing dimensions; ties go to the smaller vec_id; repeated candidate rows take a rank each,
@@ -117,7 +119,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, scale: int = SC
     cand = usable(candidates)
     asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     groups = max(-(-cand.count() // group), 6)
-    dealt = cand.withColumn("grp", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(groups)).cast("int")).withColumn("is_query", F.lit(False))
+    # By row, as equal rows may be many.
+    dealt = cand.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")).withColumn("is_query", F.lit(False))
     sent = asked.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("is_query", F.lit(True))
     both = dealt.unionByName(sent).repartition(groups, "grp").sortWithinPartitions("grp", "is_query")
     found = both.mapInArrow(_search_groups(k, scale), "query_id long, vec_id long, score long")
