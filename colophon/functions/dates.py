@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +40,34 @@ GRANULARITY = {
 DEFAULT_PATTERN = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
+def _shape(form: str) -> str:
+    """A pattern that all texts of a form match: it says little about numbers, but parsing what cannot fit costs an exception each."""
+    out, quoted = [], False
+    for m in re.finditer(r"'|([A-Za-z])\1*|.", form):
+        part = m.group(0)
+        if part == "'":
+            quoted = not quoted
+        elif quoted:
+            out.append(re.escape(part))
+        elif part in "[]":
+            out.append("(?:" if part == "[" else ")?")
+        elif part[0] == "X":
+            out.append("(?:Z|[+-][0-9:]+)")
+        elif part == "MMM":
+            out.append(r"\p{L}+\.?")
+        elif part == "yyyy":
+            out.append("[+-]?[0-9]{4,}")
+        elif len(part) == 2 and part.isalpha():
+            out.append("[0-9]{2}")
+        elif part[0].isalpha():
+            out.append("[+-]?[0-9]+")
+        else:
+            out.append(re.escape(part))
+    return f"(?i)\\A{''.join(out)}\\z"
+
+
 def _first(value: Column, forms: list[str]) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in forms])
+    return F.coalesce(*[F.when(value.rlike(_shape(f)), F.try_to_timestamp(value, F.lit(f))) for f in forms])
 
 
 def parse_date(value: Column) -> Column:

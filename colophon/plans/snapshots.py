@@ -108,13 +108,13 @@ def _events(spark: SparkSession, sf_dir: str, change: str) -> DataFrame:
 
 
 _UPSERT = """b AS (SELECT CAST(user_id AS VARCHAR) AS id, event_type AS content, event_type = 'error' AS deleted, event_id AS seq FROM events WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
-d AS (SELECT CAST(user_id AS VARCHAR) AS id, event_type AS content, event_type = 'error' AS deleted, event_id AS seq FROM events WHERE event_id % 2 = 1 AND event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
+d AS (SELECT CAST(user_id AS VARCHAR) AS id, event_type AS content, event_type = 'error' AS deleted, event_id AS seq FROM events WHERE event_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
 m AS (SELECT id, content, deleted FROM d UNION ALL SELECT id, content, deleted FROM b WHERE id NOT IN (SELECT id FROM d))"""
 
 
 def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = c.last_write(_events(spark, sf_dir, "event_id % 2 = 0")).drop("seq")
-    return c.upsert(base, _events(spark, sf_dir, "event_id % 2 = 1 AND event_id % 3 = 0"))
+    return c.upsert(base, _events(spark, sf_dir, "event_id % 2 = 1"))
 
 
 @query(f"WITH {_UPSERT} SELECT id, content, deleted FROM m")
@@ -127,10 +127,10 @@ def i_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.counts(_upserted(spark, sf_dir))
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS id, event_type AS content, event_type = 'error' AS deleted, event_id AS seq FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+@query("SELECT CAST(user_id AS VARCHAR) AS id, event_type AS content, event_type = 'error' AS deleted, event_id AS seq FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def u_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping sets, harvested one after the other."""
-    return c.union_of_sets([_events(spark, sf_dir, "event_id % 2 = 0"), _events(spark, sf_dir, "event_id % 3 = 0")])
+    return c.union_of_sets([_events(spark, sf_dir, "event_id % 2 = 0"), _events(spark, sf_dir, "event_id % 2 = 1 OR event_id % 3 = 0")])
 
 
 @query("SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 5 DAY")
@@ -167,16 +167,16 @@ def j_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.with_content(catalog(spark, sf_dir).drop("text").withColumn("network", F.lit("N")), store).select("id", F.length("content").alias("n"), "is_missing")
 
 
-@query(f"WITH {CATALOG} SELECT identifier, doc_id FROM c WHERE doc_id % 2 = 0 AND identifier NOT IN (SELECT identifier FROM c WHERE doc_id % 3 = 0)")
+@query(f"WITH {CATALOG} SELECT identifier, doc_id FROM c WHERE doc_id % 2 = 0 AND identifier NOT IN (SELECT identifier FROM c WHERE doc_id % 2 = 1 OR doc_id % 3 = 0)")
 def j_antijoin_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog(spark, sf_dir).select("identifier", "doc_id")
-    return s.missing_in(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 3 = 0"))
+    return s.missing_in(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1 OR doc_id % 3 = 0"))
 
 
-@query(f"WITH {CATALOG} SELECT identifier, doc_id FROM c WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+@query(f"WITH {CATALOG} SELECT identifier, doc_id FROM c")
 def u_carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog(spark, sf_dir).select("identifier", "doc_id")
-    return s.carry_over(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 3 = 0"))
+    return s.carry_over(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1 OR doc_id % 3 = 0"))
 
 
 @query("SELECT DISTINCT upper(md5(\"text\")) AS hash FROM documents x WHERE NOT EXISTS (SELECT 1 FROM documents y WHERE (y.doc_id % 3 = 0 AND md5(y.\"text\") = md5(x.\"text\")) OR (y.doc_id % 5 = 0 AND md5(y.\"text\") = md5(x.\"text\")))")
@@ -192,12 +192,12 @@ def j_known_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.known_hashes(hashes, _contents(spark, sf_dir, "doc_id % 3 = 0"))
 
 
-@query(f"""WITH {CATALOG}, a AS (SELECT id, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE original_metadata_hash END AS h FROM c WHERE doc_id % 5 <> 0 AND NOT deleted), b AS (SELECT id, original_metadata_hash AS h FROM c WHERE doc_id % 3 <> 0 AND NOT deleted)
+@query(f"""WITH {CATALOG}, a AS (SELECT id, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE original_metadata_hash END AS h FROM c WHERE doc_id % 5 <> 0 AND NOT deleted), b AS (SELECT id, original_metadata_hash AS h FROM c WHERE (doc_id % 3 <> 0 OR doc_id % 5 = 0) AND NOT deleted)
 SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'new' WHEN b.id IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'same' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.id = b.id""")
 def s_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog(spark, sf_dir)
     old = rows.where("doc_id % 5 <> 0").withColumn("original_metadata_hash", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("original_metadata_hash")))
-    return s.difference(old, rows.where("doc_id % 3 <> 0"))
+    return s.difference(old, rows.where("doc_id % 3 <> 0 OR doc_id % 5 = 0"))
 
 
 @query("SELECT CAST(count(*) FILTER (WHERE doc_id % 9 <> 0) AS BIGINT) AS migrated, CAST(count(*) FILTER (WHERE doc_id % 9 = 0) AS BIGINT) AS skipped FROM documents")

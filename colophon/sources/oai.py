@@ -1,11 +1,16 @@
-"""Harvested pages: XML responses to rows, replayed from files as a batch or as a stream."""
+"""Harvested pages: XML responses to rows, replayed from files as a batch or as a stream.
+
+A page is cut where a record with a header begins, so that records inside the metadata (some formats have elements of
+that name) stay in it; a record's metadata reach from their first tag to their last. Values of the header are decoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_RECORD = "//*[local-name()='ListRecords']/*[local-name()='record']"
+#: Where a record of the page begins, as against one inside the metadata.
+_START = r"(?s)(?=<(?:[\w.-]+:)?record(?:\s[^>]*)?>\s*<(?:[\w.-]+:)?header[\s>/])"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -33,12 +38,23 @@ def _inner(block: Column, tag: str) -> Column:
     return F.nullif(F.trim(found), F.lit(""))
 
 
+def _decoded(text: Column) -> Column:
+    """Character references and CDATA sections resolved; null stays null."""
+    return F.when(text.rlike("[&<]"), F.xpath_string(F.concat(F.lit("<x>"), text, F.lit("</x>")), F.lit("/x"))).otherwise(text)
+
+
 def records(pages: DataFrame) -> DataFrame:
     """resumption_token, identifier, datestamp, header_status, set_spec, metadata; one row for each record of a page."""
-    token = _inner(F.col("xml"), "resumptionToken")
-    rows = pages.select(token.alias("resumption_token"), F.explode(_blocks(F.col("xml"), "record")).alias("r"))
-    status = F.nullif(F.regexp_extract("r", r"<(?:[\w.-]+:)?header[^>]*\sstatus\s*=\s*[\"']([^\"']*)", 1), F.lit(""))
-    return rows.select("resumption_token", _inner(F.col("r"), "identifier").alias("identifier"), _inner(F.col("r"), "datestamp").alias("datestamp"), status.alias("header_status"), _inner(F.col("r"), "setSpec").alias("set_spec"), _inner(F.col("r"), "metadata").alias("metadata"))
+    token = F.regexp_extract("xml", r"(?s).*<(?:[\w.-]+:)?resumptionToken(?:\s[^>]*)?>(.*?)</(?:[\w.-]+:)?resumptionToken>", 1)
+    token = _decoded(F.nullif(F.trim(token), F.lit("")))
+    parts = F.filter(F.split("xml", _START), lambda x: x.rlike(r"\A<(?:[\w.-]+:)?record[\s>]"))
+    rows = pages.select(token.alias("resumption_token"), F.explode(parts).alias("r"))
+    head = F.regexp_extract("r", r"(?s)<(?:[\w.-]+:)?header(?:\s[^>]*)?(?:/>|>.*?</(?:[\w.-]+:)?header>)", 0)
+    rows = rows.select("resumption_token", "r", head.alias("head"))
+    status = F.nullif(F.regexp_extract("head", r"<(?:[\w.-]+:)?header[^>]*\sstatus\s*=\s*[\"']([^\"']*)", 1), F.lit(""))
+    of = lambda tag: _decoded(_inner(F.col("head"), tag))
+    metadata = F.nullif(F.trim(F.regexp_extract("r", r"(?s)<(?:[\w.-]+:)?metadata(?:\s[^>]*)?>(.*)</(?:[\w.-]+:)?metadata\s*>", 1)), F.lit(""))
+    return rows.select("resumption_token", of("identifier").alias("identifier"), of("datestamp").alias("datestamp"), status.alias("header_status"), of("setSpec").alias("set_spec"), metadata.alias("metadata"))
 
 
 def is_deleted() -> Column:

@@ -1,11 +1,14 @@
 """Harvesting as a stream: each micro-batch of pages becomes tombstones and upserts of the catalog.
 
-Versions of the catalog are named by batch, and a pointer row names the one that counts, so a batch that runs
-again writes the same version again.
+The catalog lies in buckets by id. A batch writes anew the buckets that it touches and then one manifest that names all
+that count, with the query and the batch; so a batch that runs again is known, and another query, or the same pages
+read with a fresh checkpoint, is not taken for it. Pages that are no good pages are noted with what they lead to.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,43 +62,123 @@ def back_off(tries: int, base: float = 1.0, most: float = 300.0) -> float:
 
 
 class VersionedCatalog:
-    """A catalog as Parquet versions under one folder, with the path of the current one in a pointer table."""
+    """A catalog as Parquet buckets under one folder, and manifests (JSON) that name the buckets of a version."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    MANIFEST = "number long, query string, batch long, bucket int, path string"
 
-    def _current(self) -> tuple[int, str] | None:
-        pointers = self._files(f"{self.path}/pointer")
-        if not pointers:
-            return None
-        row = self.spark.read.schema("batch long, version string").json(f"{self.path}/pointer").orderBy(F.desc("batch")).first()
-        return (row["batch"], row["version"]) if row else None
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def _files(self, path: str) -> bool:
+    def _fs(self, path: str):
         there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return there.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(there)
+        return there.getFileSystem(self.spark._jsc.hadoopConfiguration()), there
+
+    def _exists(self, path: str) -> bool:
+        fs, there = self._fs(path)
+        return fs.exists(there)
+
+    def _manifests(self) -> DataFrame:
+        there = f"{self.path}/manifest"
+        return self.spark.read.schema(self.MANIFEST).json(f"{there}/*") if self._exists(there) else self.spark.createDataFrame([], self.MANIFEST)
+
+    def _current(self) -> tuple[int, dict[int, str]]:
+        """The number of the last version and the path of each of its buckets."""
+        last = self._manifests().groupBy("number").agg(F.collect_list(F.struct("bucket", "path")).alias("paths")).orderBy(F.desc("number")).first()
+        return (last["number"], {r["bucket"]: r["path"] for r in last["paths"] if r["path"]}) if last else (0, {})
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(CATALOG).parquet(*paths) if paths else self.spark.createDataFrame([], CATALOG)
 
     def read(self) -> DataFrame:
-        now = self._current()
-        return self.spark.read.schema(CATALOG).parquet(now[1]) if now else self.spark.createDataFrame([], CATALOG)
+        return self._read(list(self._current()[1].values()))
 
-    def merge(self, delta: DataFrame, batch: int) -> None:
-        """Write the next version; a batch that has been merged already is left alone."""
-        now = self._current()
-        if now and now[0] >= batch:
+    def merge(self, delta: DataFrame, batch: int, query: str = "") -> None:
+        """Write the next version; a batch of a query that has been merged already is left alone."""
+        if not self._manifests().where((F.col("query") == query) & (F.col("batch") >= batch)).isEmpty():
             return
-        version = f"{self.path}/version-{batch}"
-        upsert(self.read(), delta).write.mode("overwrite").parquet(version)
-        self.spark.createDataFrame([(batch, version)], "batch long, version string").coalesce(1).write.mode("append").json(f"{self.path}/pointer")
-
+        number, paths = self._current()
+        number += 1
+        bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
+        # The batch is read more than once; the number of its buckets is bounded.
+        delta = delta.persist()
+        touched = sorted(r["bucket"] for r in delta.select(bucket.alias("bucket")).distinct().collect())
+        folder = f"{self.path}/version-{number}"
+        merged = upsert(self._read([paths[b] for b in touched if b in paths]), delta)
+        merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        delta.unpersist()
+        stale = {b: paths[b] for b in touched if b in paths}
+        paths |= {b: f"{folder}/bucket={b}" for b in touched if self._exists(f"{folder}/bucket={b}")}
+        # A manifest of a folder of its own appears whole or not at all; without buckets it still notes the batch.
+        rows = [(number, query, batch, b, p) for b, p in paths.items()] or [(number, query, batch, None, None)]
+        self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/{number:012d}")
+        self._forget(number, stale)
+
+    def _forget(self, number: int, stale: dict[int, str]) -> None:
+        """Note which buckets this version replaced, and remove those that the version before replaced: readers of the last version are not disturbed."""
+        there = f"{self.path}/replaced"
+        if self._exists(f"{there}/{number - 1}"):
+            for r in self.spark.read.schema("path string").json(f"{there}/{number - 1}").collect():
+                fs, path = self._fs(r["path"])
+                fs.delete(path, True)
+        self.spark.createDataFrame([(p,) for p in stale.values()], "path string").coalesce(1).write.mode("overwrite").json(f"{there}/{number}")
+
+    def note(self, pages: DataFrame, tries: int, most_tries: int = 3) -> None:
+        """Append pages (path, status) that gave no records, with the step that follows."""
+        step = F.when(F.col("status") == "ERROR_RETRY", next_step("ERROR_RETRY", tries, most_tries))
+        for status in ("NO_MATCHING_QUERY", "STOP", "ERROR_FATAL"):
+            step = step.when(F.col("status") == status, next_step(status))
+        pages.select("path", "status", F.lit(tries).alias("tries"), step.alias("step")).write.mode("append").parquet(f"{self.path}/notes")
+
+    def notes(self) -> DataFrame:
+        """The last note of every page that is no good page."""
+        there = f"{self.path}/notes"
+        empty = self.spark.createDataFrame([], "path string, status string, tries int, step string")
+        rows = self.spark.read.schema(empty.schema).parquet(there) if self._exists(there) else empty
+        return rows.groupBy("path").agg(F.max_by(F.struct("status", "tries", "step"), "tries").alias("n")).select("path", "n.*")
+
+
+def harvest(
+    spark: SparkSession,
+    pages: str,
+    catalog: VersionedCatalog,
+    checkpoint: str,
+    incremental: bool | None = None,
+    prevalid: Callable[[DataFrame], Column] | None = None,
+    files_per_batch: int = 10,
+    force_full: bool = False,
+    most_tries: int = 3,
+    wait: Callable[[float], None] = time.sleep,
+) -> int:
+    """Read all waiting pages in micro-batches into the catalog; returns the number of live records.
+
+    A harvest is incremental if the catalog has a version, unless told otherwise. Pages that are no responses are read
+    again, with growing pauses, ``most_tries`` times in all; others without records are noted.
+    """
+    if incremental is None:
+        incremental = is_incremental(not catalog._manifests().isEmpty(), force_full)
 
-def harvest(spark: SparkSession, pages: str, catalog: VersionedCatalog, checkpoint: str, incremental: bool = True, prevalid: Callable[[DataFrame], Column] | None = None, files_per_batch: int = 10) -> int:
-    """Read all waiting pages in micro-batches into the catalog; returns the number of live records."""
+    def take(found: DataFrame, query: str, number: int, tries: int) -> None:
+        judged = found.withColumn("status", oai.page_status(F.col("xml")))
+        rows = oai.records(judged.where("status = 'OK'"))
+        catalog.merge(changes(rows, incremental, prevalid(rows) if prevalid else None), number, query)
+        bad = judged.where("status <> 'OK'").select("path", "status")
+        if not bad.isEmpty():
+            catalog.note(bad, tries, most_tries)
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = oai.records(batch)
-        catalog.merge(changes(rows, incremental, prevalid(rows) if prevalid else None), number)
-
-    query = oai.stream_pages(spark, pages, files_per_batch).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+        # The id in the checkpoint is that of the query: a fresh checkpoint is another query, whose batches count anew.
+        take(batch, spark.read.json(f"{checkpoint}/metadata").first()["id"], number, 0)
+
+    stream = oai.stream_pages(spark, pages, files_per_batch).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    for tries in range(1, most_tries + 1):
+        again = [r["path"] for r in catalog.notes().where("step = 'retry'").select("path").collect()]
+        if not again:
+            break
+        wait(back_off(tries - 1))
+        found = spark.read.text(again, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
+        good = found.where(oai.page_status(F.col("xml")) == "OK").select("path", F.lit("OK").alias("status"))
+        take(found, f"retry-{uuid.uuid4().hex}", 0, tries)
+        if not good.isEmpty():
+            good.select("path", "status", F.lit(tries).alias("tries"), F.lit("continue").alias("step")).write.mode("append").parquet(f"{catalog.path}/notes")
     return catalog.read().where("NOT deleted").count()

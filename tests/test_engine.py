@@ -258,6 +258,44 @@ def test_pages_of_records(spark):
     assert [harvest.back_off(n) for n in (0, 3, 20)] == [1.0, 8.0, 300.0]
 
 
+def test_records_inside_metadata_and_references_in_headers(spark):
+    marc = '<marc:collection xmlns:marc="m"><marc:record type="x"><marc:leader>1</marc:leader></marc:record><metadata>in</metadata></marc:collection>'
+    header = "<oai:header status='deleted'><oai:identifier>oai:x?a=1&amp;b=&#50;</oai:identifier><oai:datestamp>2020-01-01</oai:datestamp><oai:setSpec><![CDATA[s&t]]></oai:setSpec></oai:header>"
+    xml = page(oai_record("a", marc), f"<oai:record>\n {header}</oai:record>", oai_record("c"), token="t&amp;u")
+    rows = oai.records(spark.createDataFrame([("p", xml)], "path string, xml string")).collect()
+    assert [(r["identifier"], r["metadata"], r["set_spec"], r["header_status"], r["resumption_token"]) for r in rows] == [("a", marc, None, None, "t&u"), ("oai:x?a=1&b=2", None, "s&t", "deleted", "t&u"), ("c", "<m/>", None, None, "t&u")]
+
+
+def test_a_fresh_checkpoint_loses_nothing(spark, tmp_path):
+    store = harvest.VersionedCatalog(spark, str(tmp_path / "catalog"), buckets=4)
+    for n, names in enumerate((["a", "b"], ["c", "d", "e"])):
+        pages = tmp_path / f"pages{n}"
+        pages.mkdir()
+        (pages / "1.xml").write_text(page(*map(oai_record, names)))
+        harvest.harvest(spark, str(pages), store, str(tmp_path / f"check{n}"))
+    assert sorted(r["identifier"] for r in store.read().collect()) == ["a", "b", "c", "d", "e"]
+    (tmp_path / "pages1" / "2.xml").write_text(page(oai_record("f"), oai_record("a", "<m>new</m>", stamp="2022-01-01T00:00:00Z")))
+    assert harvest.harvest(spark, str(tmp_path / "pages1"), store, str(tmp_path / "check1")) == 6
+    assert store.read().count() == 6
+
+
+def test_broken_pages_are_read_again(spark, tmp_path):
+    store, pages, waits = harvest.VersionedCatalog(spark, str(tmp_path / "catalog")), tmp_path / "pages", []
+    pages.mkdir()
+    (pages / "1.xml").write_text("<html>busy</html>")
+    (pages / "2.xml").write_text("<html>busy</html>")
+    (pages / "3.xml").write_text('<o><error code="noRecordsMatch">x</error></o>')
+    (pages / "4.xml").write_text(page(oai_record("a")))
+
+    def wait(seconds):
+        waits.append(seconds)
+        (pages / "1.xml").write_text(page(oai_record("b")))
+
+    assert harvest.harvest(spark, str(pages), store, str(tmp_path / "check"), wait=wait) == 2
+    notes = {r["path"][-5:]: (r["status"], r["step"], r["tries"]) for r in store.notes().collect()}
+    assert notes == {"1.xml": ("OK", "continue", 1), "2.xml": ("ERROR_RETRY", "fail", 3), "3.xml": ("NO_MATCHING_QUERY", "finish", 0)} and waits == [1.0, 2.0, 4.0]
+
+
 def test_identify_and_sets(spark):
     pages = spark.createDataFrame([("p", "<o:OAI xmlns:o='u'><o:repositoryName>R</o:repositoryName><o:granularity>YYYY-MM-DD</o:granularity></o:OAI>")], "path string, xml string")
     assert {k: v for k, v in oai.identify(pages).first()["identify"].items() if v} == {"repositoryName": "R", "granularity": "YYYY-MM-DD"}
