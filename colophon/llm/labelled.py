@@ -18,13 +18,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
+def _known(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id and label of the rows that may be learnt from."""
+    return own_columns(labels, "doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
+
+
+def class_counts(labels: DataFrame, label: str) -> dict[int, int]:
+    """How many labels of either class may be learnt from."""
+    return {0: 0, 1: 0} | {r["label"]: r["count"] for r in _known(labels, label).groupBy("label").count().collect()}
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, class_chars: int = CLASS_CHARS) -> pd.DataFrame:
     """doc_id, text and label of at most ``per_class`` rows of each class, by hash of the id, in one fixed order.
 
     Of texts that would bring their class over ``class_chars`` characters none is taken, so the driver's memory is bounded;
     texts of any other length take part whole.
     """
-    known = own_columns(labels, "doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
+    known = _known(labels, label)
     order = F.xxhash64("doc_id")
     chosen = [known.where(F.col("label") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_class ids

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,6 +12,8 @@ import corpus_pipeline
 from colophon.llm import quality, queries, toxicity
 from tests.conftest import SF
 from tests.llm import brute
+from tests.llm.test_jaccard import partition
+from tests.llm.test_operators import awkward_rows
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -46,6 +49,48 @@ def test_awkward_texts_are_scored(spark):
         assert len({r["score"] for r in out if r["doc_id"] in (None, 1, 2)}) == 1
 
 
+def test_scores_do_not_depend_on_the_rows_beside_them(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    some = docs.select("doc_id", "text").limit(90).unionByName(_docs(spark).select("doc_id", "text")).collect()
+    for module in (toxicity, quality):
+        model, seen = module.train(docs, labels), []
+        for parts in (1, 7, 40):
+            rows = spark.createDataFrame(some, "doc_id long, text string").repartition(parts)
+            seen.append(sorted((r["doc_id"] or -1, r["score"]) for r in module.score(rows, model).collect()))
+        assert seen[0] == seen[1] == seen[2]
+
+
+def test_long_texts_are_pooled_whole(monkeypatch):
+    table = quality.index_vectors()
+    texts = ["a few words", "one two three four five " * 40, "", "x y " * 9]
+    want = quality._features(quality.pa.array(texts), table)
+    monkeypatch.setattr(quality, "PIECE", 16)
+    assert np.allclose(quality._features(quality.pa.array(texts), table), want, atol=1e-5)
+
+
+def test_toxic_scores_against_plain_python(spark):
+    """Distances, counts and the calibrated probability of each text, one by one."""
+    import math
+
+    import zstandard
+
+    docs, labels = spark.read.parquet(f"{MEDIUM}/documents.parquet"), spark.read.parquet(f"{MEDIUM}/labels.parquet")
+    model = toxicity.train(docs, labels)
+
+    def size(dictionary, window):
+        made = zstandard.ZstdCompressionDict(toxicity._CARRIER + dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=17, search_log=6, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+        return len(zstandard.ZstdCompressor(dict_data=made, compression_params=how).compress(window + toxicity._CARRIER))
+
+    for r in toxicity.score(docs.where("length(text) < 300").limit(8), model).collect():
+        words = [w for w in ("".join(c for c in r["text"] if c not in '.,;:!?"()')).translate(brute.LOWER).encode().split()]
+        d = [size(model.ordinary, b" " + w + b" ") - size(model.toxic, b" " + w + b" ") for w in words]
+        counts = [sum(x >= k for x in d) for k in toxicity.DISTANCES]
+        x = [math.log1p(c) for c in counts] + [math.log1p(1000 * c / max(len(d), 1)) for c in counts] + [max(max(d, default=0), 0) / 4, sum(d) / max(len(d), 1), 1.0]
+        total = sum(a * b for a, b in zip(x, model.weights))
+        assert abs(r["score"] - 1 / (1 + math.exp(-total))) < 1e-9
+
+
 def test_labels_of_the_held_out_fold_are_not_used(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     turned = labels.selectExpr("doc_id", "IF(crc32(encode(CAST(doc_id AS STRING), 'UTF-8')) % 4 = 2, 1 - quality, quality) AS quality", "IF(crc32(encode(CAST(doc_id AS STRING), 'UTF-8')) % 4 = 2, 1 - toxic, toxic) AS toxic")
@@ -77,6 +122,26 @@ def test_network_temperature_lowers_overconfidence():
     assert net.temperature > 1
 
 
+def test_pipeline_stages_on_awkward_rows(spark):
+    """Nulls, repeated rows, empty texts and columns with clashing names go through every stage."""
+    rows = [(d, t, "en", s, None if t is None else len(t), 0.5, d, "x", 7) for d, t, s in awkward_rows()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, note_id long, h string, n_words int").repartition(3)
+    stages, texts = dict(corpus_pipeline.STAGES), [(r[0], r[1], r[3]) for r in rows]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    others = lambda r: (r["lang"], r["score"], r["note_id"], r["h"], r["n_words"])
+    out = {name: stages[name](spark, docs, SF) for name in ("toxicity", "line_dedup", "near_duplicates", "decontamination")}
+    for df in out.values():
+        assert df.dtypes == docs.dtypes and all(others(r) == ("en", 0.5, r["doc_id"], "x", 7) for r in df.collect())
+    assert out["line_dedup"].count() == len(rows)
+    assert Counter((r["doc_id"], brute.sha(r["text"] or "")) for r in out["line_dedup"].collect()) == Counter((d, s) for d, _, _, s in brute.line_dedup(texts))
+    clean = Counter(r[0] for r in brute.contamination([(d, t) for d, t, _ in texts], items) if not r[-1])
+    assert Counter(r["doc_id"] for r in out["decontamination"].collect()) == clean
+    kept = Counter((r["doc_id"], r["text"]) for r in out["toxicity"].collect())
+    assert not kept - Counter((d, t) for d, t, _ in texts) and kept[(None, None)] == 1 and kept[(2, "")] == 1
+    packed = stages["packing"](spark, docs, SF).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == Counter(brute.pieces([(d, t) for d, t, _ in texts]))
+
+
 def test_pipeline_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
