@@ -128,15 +128,37 @@ def test_links_span_all_groups(spark):
     assert all(find(f) == find(r) for f, r in got.items())
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("tasks", ["one", "many"])
+def test_components_of_a_long_chain(spark, tasks):
     n = 400
     order = list(range(n))
     random.Random(2).shuffle(order)
-    links = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(5000 + i, 5000) for i in range(1, 300)], "a long, b long")
-    out = {r["node"]: r["root"] for r in components.components(links).collect()}
+    links = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(5000 + i, 5000) for i in range(1, 300)] * 2, "a long, b long").repartition(4)
+    # With many tasks no task has all links of a component, so the star steps must join what the tasks leave.
+    many = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "2k"}
+    before = {key: spark.conf.get(key) for key in many}
+    try:
+        for key, value in many.items() if tasks == "many" else ():
+            spark.conf.set(key, value)
+        out = {r["node"]: r["root"] for r in components.components(links).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
     assert all(out.get(i, i) == 0 for i in range(n)) and all(out[5000 + i] == 5000 for i in range(1, 300))
 
 
+def test_stars_of_random_links():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (40, 30), (300, 180), (300, 900)):
+        a, b = rng.integers(-n, n, (2, m))
+        root = {int(x): int(x) for x in (*a, *b)}
+        for _ in range(m):
+            for x, y in zip(a.tolist(), b.tolist()):
+                root[x] = root[y] = min(root[x], root[y])
+        node, least = components.stars(a, b)
+        assert dict(zip(node.tolist(), least.tolist())) == {x: y for x, y in root.items() if x != y}
+
+
 def test_line_dedup(both):
     rows, docs = both
     for sites in (3, 10):
