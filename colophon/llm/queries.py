@@ -14,7 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.digest(_read(spark, sf_dir, "documents"))
+    return substring_dedup.digest(_read(spark, sf_dir, "documents")).drop("longest")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
