@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colophon.llm import decontam, line_dedup, packing, quality, secrets, sharding, simhash, substring_dedup, topk, toxicity
+from colophon.llm import decontam, line_dedup, merkle, packing, quality, secrets, sharding, simhash, substring_dedup, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_read(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(_read(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM documents
@@ -129,10 +133,55 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM m GROUP BY doc_id
 """
 
+OP11_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS grp, text,
+         concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+         list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(regexp_extract_all(CAST(doc_id AS VARCHAR), '.'), lambda c: [CAST(256 + ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+           lambda crc, x: CASE WHEN xor(crc, x & 255) & 1 = 1 THEN xor(xor(crc, x & 255) >> 1, 3988292384) ELSE xor(crc, x & 255) >> 1 END) & 1 AS odd
+  FROM documents
+), l AS (
+  SELECT doc_id, grp, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN odd = 1 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS tampered
+  FROM d
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY grp) AS size FROM l
+), t AS (
+  SELECT grp, 0 AS level, place, size, leaf AS digest FROM p
+  UNION ALL
+  SELECT grp, level + 1, place // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM t WHERE size > 1 GROUP BY grp, level, place // 3, size
+), r AS (
+  SELECT grp, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS size FROM t WHERE size = 1
+), u AS (
+  SELECT 0 AS level, place, size, subroot AS digest FROM r
+  UNION ALL
+  SELECT level + 1, place // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM u WHERE size > 1 GROUP BY level, place // 3, size
+), s AS (
+  SELECT p.grp, p.place, t.level, coalesce(string_agg(t.digest, '' ORDER BY t.place) FILTER (WHERE t.place < p.place // CAST(pow(3, t.level) AS BIGINT)), '') AS before,
+         coalesce(string_agg(t.digest, '' ORDER BY t.place) FILTER (WHERE t.place > p.place // CAST(pow(3, t.level) AS BIGINT)), '') AS after
+  FROM p JOIN t ON t.grp = p.grp AND t.size > 1 AND t.place // 3 = p.place // CAST(pow(3, t.level + 1) AS BIGINT) GROUP BY p.grp, p.place, t.level
+), v AS (
+  SELECT r.grp, u.level, coalesce(string_agg(u.digest, '' ORDER BY u.place) FILTER (WHERE u.place < r.place // CAST(pow(3, u.level) AS BIGINT)), '') AS before,
+         coalesce(string_agg(u.digest, '' ORDER BY u.place) FILTER (WHERE u.place > r.place // CAST(pow(3, u.level) AS BIGINT)), '') AS after
+  FROM r JOIN u ON u.size > 1 AND u.place // 3 = r.place // CAST(pow(3, u.level + 1) AS BIGINT) GROUP BY r.grp, u.level
+), low AS (
+  SELECT grp, place, list(before || '|' || after ORDER BY level) AS path FROM s GROUP BY grp, place
+), high AS (
+  SELECT grp, list(before || '|' || after ORDER BY level) AS path FROM v GROUP BY grp
+), f AS (
+  SELECT p.doc_id, p.leaf, p.tampered, r.subroot, (SELECT digest FROM u WHERE size = 1) AS root, coalesce(low.path, []) || coalesce(high.path, []) AS path
+  FROM p JOIN r ON p.grp = r.grp LEFT JOIN low ON low.grp = p.grp AND low.place = p.place LEFT JOIN high ON high.grp = p.grp
+), g AS (
+  SELECT *, list_reduce([tampered] || path, lambda below, x: sha256(split_part(x, '|', 1) || below || split_part(x, '|', 2))) AS folded_root FROM f
+)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM g
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_packing, op4_quality, op5_simhash, op6_secrets, op7_decontamination, op8_topk, op9_line_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_packing, op4_quality, op5_simhash, op6_secrets, op7_decontamination, op8_topk, op9_line_dedup, op10_sharding, op11_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op7_decontamination": OP7_SQL, "op8_topk": OP8_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op7_decontamination": OP7_SQL, "op8_topk": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_merkle": OP11_SQL}
