@@ -257,12 +257,12 @@ def manifest(rows: DataFrame, group: Column, key: Column, digest: Column, part_r
     return out.select(F.col("doc_id").alias("key"), "digest", *along, F.concat("path", "above").alias("path"), "subroot", F.col("top").alias("root"))
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """The columns of the query contract: every second document is tampered with, and its proof tried."""
     tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 2 == 0
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
     changed = F.when(tampered & F.col("text").contains("\n"), leaf(*fields, F.replace("text", F.lit("\n"), F.lit(""))))
-    out = manifest(docs, F.col("source"), F.col("doc_id"), leaf(*fields, F.col("text")), tampered=changed)
+    out = manifest(docs, F.col("source"), F.col("doc_id"), leaf(*fields, F.col("text")), part_rows, tampered=changed)
     siblings = F.array_join(F.transform("path", lambda p: F.concat(p["before"], p["after"])), "")
     folded = fold(F.col("path"), F.coalesce("tampered", "digest"))
     out = out.select(F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", F.sha2(F.encode(siblings, "UTF-8"), 256).alias("proof_sha256"), folded.alias("folded_root"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colophon.llm import decontam, line_dedup, merkle, packing, quality, secrets, sharding, simhash, substring_dedup, topk, toxicity
+from colophon.llm import ann, decontam, line_dedup, merkle, packing, quality, secrets, sharding, simhash, substring_dedup, topk, toxicity, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +61,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(_read(spark, sf_dir, "documents"))
 
 
+def op12_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = """
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS words FROM documents
@@ -180,7 +189,7 @@ SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_packing, op4_quality, op5_simhash, op6_secrets, op7_decontamination, op8_topk, op9_line_dedup, op10_sharding, op11_merkle)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_packing, op4_quality, op5_simhash, op6_secrets, op7_decontamination, op8_topk, op9_line_dedup, op10_sharding, op11_merkle, op12_ann, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
