@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -17,7 +16,8 @@ UNKNOWN = "UNKNOWN"
 # Patterns that token counts and host names are defined by.
 WORD_OR_NUMBER = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
 PUNCTUATION = r"\p{Punct}"
-CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{2CEB0}-\x{2EBEF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{AC00}-\x{D7AF}]"
+CJK_RANGES = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0x2CEB0, 0x2EBEF), (0x3040, 0x309F), (0x30A0, 0x30FF), (0xAC00, 0xD7AF)]
+CJK = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in CJK_RANGES) + "]"
 WORD_WEIGHT, PUNCTUATION_WEIGHT, CJK_WEIGHT = 1.10, 0.35, 0.65
 DOMAIN = r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*(\.[A-Za-z-]{2,})"
 
@@ -80,39 +80,20 @@ def normalise(text: Column) -> Column:
     return collapse(_nfc(text))
 
 
-_PY_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_PY_PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~]")
-_PY_CJK = re.compile("[一-鿿㐀-䶿\U00020000-\U0002ebef぀-ゟ゠-ヿ가-힯]")
-
-
 def estimate(text: str) -> int:
     """``token_estimate`` for one Python string."""
-    if not text.strip():
-        return 0
-    n = WORD_WEIGHT * len(_PY_WORD.findall(text)) + PUNCTUATION_WEIGHT * len(_PY_PUNCTUATION.findall(text)) + CJK_WEIGHT * len(_PY_CJK.findall(text))
-    return max(1, int(-(-round(n, 9) // 1)))
-
-
-def split_text(text: str, most: int) -> list[str]:
-    """Pieces of at most ``most`` estimated tokens: sentences are filled up in order; a longer one is cut at words."""
-    pieces, held = [], ""
-    for sentence in re.split(r"(?<=[.!?])\s+", text):
-        for part in [sentence] if estimate(sentence) <= most else sentence.split():
-            joined = f"{held} {part}" if held else part
-            if held and estimate(joined) > most:
-                pieces.append(held)
-                held = part
-            else:
-                held = joined
-    return pieces + [held] if held else pieces
-
-
-def chunks(title: Column, abstract: Column, most_tokens: int = 128, most_chunks: int = 5) -> Column:
+    from colophon.functions import splitting
+
+    return splitting.estimate(text)
+
+
+def chunks(title: Column, abstract: Column, most_tokens: int = 128, most_chunks: int = 5, overlap: int = 0) -> Column:
     """Up to ``most_chunks`` texts of title, line break, piece of the abstract; empty if either is blank."""
+    from colophon.functions.splitting import split_text
 
     @F.pandas_udf(ArrayType(StringType()))
     def cut(titles: pd.Series, abstracts: pd.Series) -> pd.Series:
-        return pd.Series([[f"{t}\n{c}" for c in split_text(a, most_tokens)[:most_chunks]] if t and a else [] for t, a in zip(titles.fillna(""), abstracts.fillna(""))])
+        return pd.Series([[f"{t}\n{c}" for c in split_text(a, most_tokens, overlap)[:most_chunks]] if t and a else [] for t, a in zip(titles.fillna(""), abstracts.fillna(""))])
 
     return cut(normalise(title), normalise(abstract))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.operators.facts import rule_columns
+from colophon.shipping import scratch
 
 _FLAGS = {"is_valid": "is_valid", "record_is_valid": "is_valid", "is_transformed": "is_transformed", "record_is_transformed": "is_transformed"}
 
@@ -105,6 +106,33 @@ def next_page(df: DataFrame, key: str, after: object | None, size: int = 1000, c
     return (out if after is None else out.where(F.col(key) > F.lit(after))).orderBy(key).limit(size)
 
 
+def page_directory(df: DataFrame, key: str, size: int = 1000) -> DataFrame:
+    """page and low: the first key of every page of ``size`` rows. Keys are unique.
+
+    Rows are range-partitioned by key and written as keys alone; a row's place is its partition's offset, a sum over
+    the partitions before it, and its place there. The directory is a row for each page: written, it serves any page.
+    """
+    spark = df.sparkSession
+    there = scratch(spark, "page-directory")
+    placed = df.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id())
+    placed.select(key, F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("at")).write.parquet(there)
+    placed = spark.read.parquet(there)
+    # A row for each partition, so one task can add them up.
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
+    offsets = counts.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("offset"))
+    ranked = placed.join(offsets, "part").withColumn("rank", F.col("offset") + F.col("at"))
+    return ranked.where(F.col("rank") % size == 0).select(F.expr(f"rank div {size}").alias("page"), F.col(key).alias("low"))
+
+
+def directory_page(df: DataFrame, directory: DataFrame, number: int, key: str) -> DataFrame:
+    """A 0-based page as a range of keys: its cost does not grow with its number. The rows are in no order."""
+    lows = {r["page"]: r["low"] for r in directory.where(F.col("page").isin(number, number + 1)).collect()}  # two rows at most
+    if number not in lows:
+        return df.where(F.lit(False))
+    out = df.where(F.col(key) >= F.lit(lows[number]))
+    return out.where(F.col(key) < F.lit(lows[number + 1])) if number + 1 in lows else out
+
+
 def page_envelope(total: int, number: int, size: int) -> dict[str, int | bool]:
     pages = -(-total // size) if size else 0
     return {"total_elements": total, "total_pages": pages, "number": number, "size": size, "has_next": number + 1 < pages, "has_previous": number > 0, "is_first": number == 0, "is_last": number + 1 >= pages}

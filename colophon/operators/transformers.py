@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.functions.expression import compile_expression, whole
@@ -453,7 +453,27 @@ def transform(records: DataFrame, rules: list[TransformerRule], flag: str = "is_
     return out
 
 
-def translate_by_table(occurrences: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Dictionaries of any size: occurrence rows with ``translated``, looked up without regard to case."""
-    keys = dictionary.select(F.lower(F.upper("key")).alias("fold"), F.col("value").alias("translated")).dropDuplicates(["fold"])
+def translate_by_table(occurrences: DataFrame, dictionary: DataFrame, order: str | None = None) -> DataFrame:
+    """Dictionaries of any size: occurrence rows with ``translated``, looked up without regard to case.
+
+    Of keys that differ in case alone the last one counts, by the column ``order`` of the dictionary or else by the key.
+    """
+    last = F.struct(order, "key") if order else F.struct("key")
+    keys = dictionary.groupBy(F.lower(F.upper("key")).alias("fold")).agg(F.max_by("value", last).alias("translated"))
     return occurrences.withColumn("fold", F.lower(F.upper("value"))).join(keys, "fold", "left").drop("fold")
+
+
+def translate_by_prefix(occurrences: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Prefix dictionaries of any size: a row for each occurrence and key that its value begins with.
+
+    For each length that keys have, the beginning of that length is looked up by an equi-join, so what the plan holds
+    grows with the number of lengths and not with the keys. ``place`` is the key's place among those of its value, in
+    the order in which the literal form appends them: without regard to case, then by the key itself.
+    """
+    lengths = sorted(r[0] for r in dictionary.select(F.length("key")).distinct().collect())  # as many as the longest key has letters
+    keys = dictionary.groupBy("key").agg(F.max("value").alias("translated"))
+    numbered = occurrences.withColumn("_occurrence", F.monotonically_increasing_id())
+    cuts = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("value"))
+    found = numbered.withColumn("_length", F.explode(cuts)).withColumn("key", F.substring(F.col("value"), F.lit(1), F.col("_length"))).join(keys, "key")
+    place = F.row_number().over(Window.partitionBy("_occurrence").orderBy(F.lower("key"), "key")) - 1
+    return found.withColumn("place", place).select(*occurrences.columns, "key", "translated", "place")

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import socket
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.functions.address import node_count
 from colophon.functions.expression import compile_expression, whole
 from colophon.model import QUANTIFIERS, BadRule, Registered
 from colophon.operators import fields
+from colophon.shipping import ship
 
 NO_OCCURRENCES = "no_occurrences_found"
 #: Values beyond which a vocabulary is joined as a table (``mark_controlled``) and not written into the plan.
@@ -236,3 +239,55 @@ def check_urls(df: DataFrame, url: str, checker: Callable[[str], str]) -> DataFr
 
     schema = ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes) + ", url_status string"
     return df.mapInPandas(run, schema)
+
+
+#: Codes that lead elsewhere; one step is followed. Fixed values.
+REDIRECTS = (301, 302, 303)
+
+
+def _url_status(url: str, opener: Callable[[str], tuple[int, str | None]]) -> str:
+    """OK, ERROR, or what kind of failure it was; ``opener`` gives the code and where it leads."""
+    try:
+        if "://" not in url:
+            return "MalformedURL"
+        code, elsewhere = opener(url)
+        if code in REDIRECTS:
+            code, _ = opener(elsewhere or "")
+        return "OK" if code == 200 else "ERROR"
+    except socket.gaierror:
+        return "UnknownHost"
+    except ValueError:
+        return "MalformedURL"
+    except OSError:
+        return "ConnectionError"
+    except Exception:
+        return "UnknownError"
+
+
+def check_urls_by_host(df: DataFrame, url: str, opener: Callable[[str], tuple[int, str | None]], per_second: float = 1.0, wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> DataFrame:
+    """Adds ``url_status``: every distinct URL is asked for once, a host at most ``per_second`` times a second.
+
+    All URLs of a host are in one task, which is what a rate for each host asks for; the hosts of a task take turns, so
+    that they wait for themselves alone. Null has the status NULL.
+    """
+    ship(df.sparkSession)
+    asked = df.select(F.col(url).alias("_url")).where("_url IS NOT NULL").distinct()
+    asked = asked.withColumn("_host", F.lower(F.regexp_extract("_url", r"\A[^:/?#]+://(?:[^/?#@]*@)?([^/:?#]*)", 1)))
+    turns = asked.withColumn("_turn", F.row_number().over(Window.partitionBy("_host").orderBy("_url")))
+    ordered = turns.repartition("_host").sortWithinPartitions("_turn", "_host")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: dict[str, float] = {}
+        for batch in batches:
+            found = []
+            for u, host in zip(batch["_url"], batch["_host"]):
+                pause = last.get(host, -1e9) + 1 / per_second - clock()
+                if host and pause > 0:
+                    wait(pause)
+                last[host] = clock()
+                found.append(_url_status(u, opener))
+            yield pd.DataFrame({"_url": batch["_url"], "url_status": found})
+
+    known = ordered.select("_url", "_host").mapInPandas(run, "_url string, url_status string")
+    joined = df.join(known, F.col(url) == F.col("_url"), "left").drop("_url")
+    return joined.withColumn("url_status", F.coalesce("url_status", F.lit("NULL")))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colophon.operators import contains, counters
 from colophon.operators import facts as f
 from colophon.operators import stats as s
 from colophon.plans.adapters import DOC_FACTS, RULES, doc_facts
 from colophon.plans.registry import query, table
+from colophon.shipping import scratch
 
 IDS = [1, 2, 3, 4]
 _RULE_COUNTS = ", ".join(f"count(*) FILTER (WHERE rule_{i}) AS valid_{i}, count(*) FILTER (WHERE NOT rule_{i}) AS invalid_{i}" for i in IDS)
@@ -87,6 +89,28 @@ def r_occ_counts_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.occurrence_counts(_occurrences(spark, sf_dir), 4, is_valid=False)
 
 
+_ALL_COUNTERS = f"""p AS ({' UNION ALL '.join([
+    "SELECT 'total' AS facet, '' AS value FROM g", "SELECT 'record_is_valid', CAST(is_valid AS VARCHAR) FROM g", "SELECT 'record_is_transformed', CAST(is_transformed AS VARCHAR) FROM g",
+    *[f"SELECT CASE WHEN rule_{i} THEN 'valid_rules' ELSE 'invalid_rules' END, '{i}' FROM g" for i in IDS],
+    "SELECT CASE WHEN is_valid THEN 'valid_occurrences:' ELSE 'invalid_occurrences:' END || rule_id, occurrence_value FROM o WHERE identifier_hash IN (SELECT identifier_hash FROM g)"])}) SELECT facet, value, count(*) AS count FROM p GROUP BY ALL"""
+
+
+@query(f"WITH {DOC_FACTS}, {_OCCURRENCES}, g AS (SELECT * FROM f WHERE doc_id % 11 <> 0), {_ALL_COUNTERS}")
+def a_counters_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a snapshot from those of the one before: inserted, changed and deleted records."""
+    facts = doc_facts(spark, sf_dir, details=True).withColumn("doc_id", F.element_at(F.split("identifier", ":"), -1).cast("long"))
+    now = facts.where("doc_id % 11 <> 0")
+    # Before: every fifth document is not there yet, every seventh was not transformed and failed two rules, every eleventh is still there.
+    was = facts.where("doc_id % 5 <> 0")
+    bad = F.col("doc_id") % 7 == 0
+    was = was.withColumns({"is_transformed": F.col("is_transformed") & ~bad, "is_valid": F.col("is_valid") & ~bad, "rule_1": F.col("rule_1") & ~bad, "rule_3": F.col("rule_3") & ~bad})
+    was = was.withColumn("details", F.when(bad, F.transform("details", lambda d: d.withField("is_valid", F.lit(False)))).otherwise(F.col("details")))
+    touched = facts.where("doc_id % 5 = 0 OR doc_id % 7 = 0 OR doc_id % 11 = 0").select("identifier_hash")
+    before, after = (counters.of_changed(rows, touched) for rows in (was, now))
+    kept = counters.counted(was, f.rule_occurrences(was))
+    return counters.moved(kept, before, after, f.rule_occurrences(before), f.rule_occurrences(after))
+
+
 @query(f"WITH {DOC_FACTS} SELECT identifier, is_valid FROM f WHERE rule_2 ORDER BY identifier LIMIT 20 OFFSET 40")
 def r_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.page(doc_facts(spark, sf_dir), 2, 20, filters=["valid_rules@@2"]).select("identifier", "is_valid")
@@ -152,6 +176,39 @@ def f_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.where(both).select("c_custkey", "c_name")
 
 
+_PATTERNS = ["%customer#%12%", "%Y B%", "%99", "%o_st%", "none of them%"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' AS pattern, p_partkey AS id FROM part WHERE p_name ILIKE '{p}' UNION ALL SELECT '{p}', c_custkey FROM customer WHERE c_name ILIKE '{p}'" for p in _PATTERNS))
+def f_contains_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns with wildcards, searched by the pieces of names; short ones by a scan."""
+    out = None
+    for name, key, column in (("part", "p_partkey", "p_name"), ("customer", "c_custkey", "c_name")):
+        rows = table(spark, sf_dir, name).select(F.col(key).alias("id"), F.col(column).alias("name"))
+        there = scratch(spark, "pieces")
+        contains.write_index(rows, "id", "name", there)
+        for pattern in _PATTERNS:
+            found = contains.search(rows, spark.read.parquet(there), "id", "name", pattern).select(F.lit(pattern).alias("pattern"), "id")
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(f"""WITH {DOC_FACTS}, n AS (SELECT identifier, is_valid, (row_number() OVER (ORDER BY identifier) - 1) // 20 AS page, (count(*) OVER () - 1) // 20 AS last FROM f)
+SELECT page, identifier, is_valid FROM n WHERE page IN (0, last // 2, last)""")
+def r_page_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First, middle and last page, each a range of keys."""
+    records = doc_facts(spark, sf_dir)
+    there = scratch(spark, "directory")
+    s.page_directory(records, "identifier", 20).write.parquet(there)
+    directory = spark.read.parquet(there)
+    last = directory.agg(F.max("page")).first()[0]
+    out = None
+    for number in sorted({0, last // 2, last}):
+        found = s.directory_page(records, directory, number, "identifier").select(F.lit(number).cast("long").alias("page"), "identifier", "is_valid")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' AND o_custkey IN (1, 2, 3, 5, 8, 13) AND o_orderdate BETWEEN TIMESTAMP '1993-01-01' AND TIMESTAMP '1997-12-31'")
 def f_status_in_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").where(s.status_is(F.col("o_orderstatus"), "F", negated=True))

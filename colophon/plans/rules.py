@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import socket
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from colophon.functions.expression import compile_expression
 from colophon.model import QUANTIFIERS
 from colophon.operators import fields
 from colophon.operators import transformers as t
+from colophon.operators import trees
 from colophon.operators import validators as v
 from colophon.plans.adapters import LINE_RECORDS, TALK_RECORDS, line_records, talk_records
 from colophon.plans.registry import query, table
@@ -59,10 +62,17 @@ def v_url_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("record_id", v.UrlSyntax(field="url").verdict(lambda name: F.col(name)).alias("valid"))
 
 
-@query("SELECT page_id AS record_id, CASE WHEN page_id % 3 = 0 THEN 'ERROR' ELSE 'OK' END AS url_status FROM pages")
+def _opened(url: str) -> tuple[int, str | None]:
+    """What a web of its own rule answers, by the length of the URL: found, absent, elsewhere, or no such host."""
+    if len(url) % 4 == 3:
+        raise socket.gaierror("no such host")
+    return {0: (404, None), 1: (200, None), 2: (302, url + "abc")}[len(url) % 4]
+
+
+@query("SELECT page_id AS record_id, CASE WHEN url IS NULL THEN 'NULL' WHEN NOT contains(url, '://') THEN 'MalformedURL' WHEN length(url) % 4 = 0 THEN 'ERROR' WHEN length(url) % 4 = 3 THEN 'UnknownHost' ELSE 'OK' END AS url_status FROM pages")
 def v_url_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), F.concat(F.lit("http://host/"), F.col("page_id").cast("string")).alias("url"))
-    return v.check_urls(pages, "url", lambda u: "ERROR" if int(u.rsplit("/", 1)[1]) % 3 == 0 else "OK").select("record_id", "url_status")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), "url")
+    return v.check_urls_by_host(pages, "url", _opened, per_second=1e9).select("record_id", "url_status")
 
 
 def _xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,3 +248,38 @@ def d_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records to occurrence rows and back to records and rows again."""
     rows = fields.occurrences_from_records(line_records(spark, sf_dir), ["flags"])
     return fields.occurrences_from_records(fields.records_from_occurrences(rows, ["flags"]), ["flags"])
+
+
+_LINES = "l AS (SELECT l_orderkey AS record_id, l_linenumber AS n, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS size, l_returnflag AS flag FROM lineitem)"
+
+
+def _line_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as record trees: an element for each line, with a value and a flag."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("record_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").cast("string").alias("size"), "l_returnflag"))).alias("lines"))
+    element = lambda s: F.concat(F.lit('<element name="line"><field name="value">'), s["size"], F.lit('</field><field name="flag">'), s["l_returnflag"], F.lit("</field></element>"))
+    xml = F.concat(F.lit('<metadata><element name="order">'), F.array_join(F.transform("lines", element), ""), F.lit("</element></metadata>"))
+    return trees.nodes(lines.select("record_id", xml.alias("xml")), "xml")
+
+
+@query(f"""WITH {_LINES} SELECT record_id, 'order.line' AS field, CAST(row_number() OVER (PARTITION BY record_id ORDER BY n, size, flag) - 1 AS INTEGER) AS pos, size AS value FROM l WHERE flag <> 'R'
+UNION ALL SELECT record_id, 'order.returned', CAST(row_number() OVER (PARTITION BY record_id ORDER BY n, size, flag) - 1 AS INTEGER), size FROM l WHERE flag = 'R'
+UNION ALL SELECT record_id, 'order.line:flag', CAST(row_number() OVER (PARTITION BY record_id ORDER BY n, size, flag) - 1 AS INTEGER), flag FROM l""")
+def t_rename_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of lines whose flag, a sibling node, is R become values of another field."""
+    tree = trees.with_sibling(_line_tree(spark, sf_dir), "flag", "flag")
+    return trees.fields(trees.rename(tree, trees.at("order.line") & (F.col("flag") == "R"), "order.returned"))
+
+
+@query(f"WITH {_LINES} SELECT record_id, first(size ORDER BY n, size, flag) AS value FROM l WHERE flag = 'R' GROUP BY record_id")
+def x_look_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value of the first line whose flag is R."""
+    return trees.look_up(_line_tree(spark, sf_dir), "order.line", "flag", "R", "value")
+
+
+@query("""WITH k AS (SELECT DISTINCT left(p_name, 1 + (p_partkey % 9)::INTEGER) AS key FROM part), o AS (SELECT p_partkey AS record_id, p_name AS value FROM part)
+SELECT record_id, key, upper(key) AS translated, CAST(row_number() OVER (PARTITION BY record_id ORDER BY lower(key), key) - 1 AS INTEGER) AS place FROM o JOIN k ON starts_with(value, key)""")
+def t_translate_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary of beginnings of part names, looked up in all part names."""
+    parts = table(spark, sf_dir, "part")
+    keys = parts.select(F.substring(F.col("p_name"), F.lit(1), (F.col("p_partkey") % 9 + 1).cast("int")).alias("key")).distinct()
+    return t.translate_by_prefix(parts.select(F.col("p_partkey").alias("record_id"), F.col("p_name").alias("value")), keys.withColumn("value", F.upper("key"))).drop("value")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon.operators import catalog as c
+from colophon.operators import digests
 from colophon.operators import snapshots as s
 from colophon.plans.adapters import CATALOG, SNAPSHOTS, catalog, snapshots
 from colophon.plans.registry import query, table
+from colophon.shipping import scratch
+from colophon.sources import lists
+from colophon.streaming import harvest
 
 _ROW = "id, network_id, status, end_time"
 
@@ -135,11 +139,9 @@ def u_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 5 DAY")
 def i_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from colophon.streaming.harvest import since
-
     events = table(spark, sf_dir, "events").select("event_id", "ts")
     mark = events.agg((F.max("ts") - F.expr("INTERVAL 5 DAY")).alias("mark")).first()["mark"]
-    return since(events, F.lit(mark), "ts")
+    return harvest.since(events, F.lit(mark), "ts")
 
 
 _CONTENT = "SELECT DISTINCT 'N' || (doc_id % 2) AS network, upper(md5(\"text\")) AS hash FROM documents"
@@ -200,6 +202,53 @@ def s_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.difference(old, rows.where("doc_id % 3 <> 0 OR doc_id % 5 = 0"))
 
 
+@query(f"""WITH {CATALOG}, a AS (SELECT id, CASE WHEN doc_id % 70 = 0 THEN 'old' ELSE original_metadata_hash END AS h FROM c WHERE doc_id % 50 <> 3 AND NOT deleted), b AS (SELECT id, original_metadata_hash AS h FROM c WHERE doc_id % 90 <> 4 AND NOT deleted)
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'new' WHEN b.id IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'same' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.id = b.id""")
+def s_diff_by_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots written by bucket; buckets with equal digests are not joined."""
+    rows, there = catalog(spark, sf_dir), scratch(spark, "diff")
+    old = rows.where("doc_id % 50 <> 3").withColumn("original_metadata_hash", F.when(F.col("doc_id") % 70 == 0, "old").otherwise(F.col("original_metadata_hash")))
+    for name, snapshot in (("old", old), ("new", rows.where("doc_id % 90 <> 4"))):
+        digests.write_buckets(snapshot.select("id", "original_metadata_hash", "deleted"), f"{there}/{name}")
+    return digests.bucketed_difference(spark, f"{there}/old", f"{there}/new", with_same=True)
+
+
+# ---- harvesting ----
+
+
+def _record(identifier: str, metadata: str) -> Column:
+    """A record as a provider lists it; without metadata it is a deleted one."""
+    return F.concat(
+        F.lit("<record><header"), F.when(F.expr(metadata).isNull(), " status='deleted'").otherwise(""), F.lit("><identifier>"), F.expr(identifier), F.lit("</identifier><datestamp>2020-01-01</datestamp></header>"),
+        F.coalesce(F.concat(F.lit("<metadata>"), F.expr(metadata), F.lit("</metadata>")), F.lit("")), F.lit("</record>"),
+    )
+
+
+def _list_pages(pages: DataFrame, metadata: str, path: str, size: int = 50) -> None:
+    """Web pages as three lists of records, ``size`` on a page; each page names the next as its token."""
+    rows = pages.select(F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string")).alias("set"), F.expr(f"page_id div {3 * size}").alias("page"), "page_id", _record("'page:' || page_id", metadata).alias("record"))
+    last = rows.groupBy("set").agg(F.max("page").alias("last"))  # three rows
+    grouped = rows.groupBy("set", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "record"))), lambda r: r["record"]), "").alias("records"))
+    token = F.when(F.col("page") < F.col("last"), (F.col("page") + 1).cast("string")).otherwise("")
+    xml = F.concat(F.lit("<OAI-PMH><ListRecords>"), F.col("records"), F.lit("<resumptionToken>"), token, F.lit("</resumptionToken></ListRecords></OAI-PMH>"))
+    grouped.join(last, "set").select("set", "page", xml.alias("value")).write.partitionBy("set", "page").text(path)
+
+
+@query("""SELECT md5('page:' || page_id) AS id, 'page:' || page_id AS identifier, page_id % 7 = 0 AS deleted,
+CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN upper(md5('<m>new ' || md5(html) || '</m>')) ELSE upper(md5('<m>' || md5(url) || '</m>')) END AS original_metadata_hash FROM pages""")
+def i_list_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages listed by a provider in three sets: a full harvest, then an incremental one with changes and deletions."""
+    pages, there = table(spark, sf_dir, "pages"), scratch(spark, "lists")
+    store = harvest.VersionedCatalog(spark, f"{there}/catalog")
+    _list_pages(pages, "'<m>' || md5(url) || '</m>'", f"{there}/all")
+    changes = pages.where("page_id % 7 = 0 OR page_id % 5 = 0 OR page_id % 150 < 3")  # no list page is left out
+    _list_pages(changes, "CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN '<m>new ' || md5(html) || '</m>' ELSE '<m>' || md5(url) || '</m>' END", f"{there}/changes")
+    fetch_since = lambda mark: lists.folder_fetch(f"{there}/{'changes' if mark else 'all'}")
+    for _ in range(2):
+        harvest.harvest_lists(spark, fetch_since, ["s0", "s1", "s2"], store, f"{there}/checkpoint", pages=20)
+    return store.read().select("id", "identifier", "deleted", "original_metadata_hash")
+
+
 @query("SELECT CAST(count(*) FILTER (WHERE doc_id % 9 <> 0) AS BIGINT) AS migrated, CAST(count(*) FILTER (WHERE doc_id % 9 = 0) AS BIGINT) AS skipped FROM documents")
 def k_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog(spark, sf_dir).withColumn("identifier", F.when(F.col("doc_id") % 9 != 0, F.col("identifier")))

@@ -1,8 +1,9 @@
-"""Harvesting as a stream: each micro-batch of pages becomes tombstones and upserts of the catalog.
+"""Harvesting as a stream: each micro-batch of pages becomes tombstones and upserts of a snapshot of the catalog.
 
-The catalog lies in buckets by id. A batch writes anew the buckets that it touches and then one manifest that names all
-that count, with the query and the batch; so a batch that runs again is known, and another query, or the same pages
-read with a fresh checkpoint, is not taken for it. Pages that are no good pages are noted with what they lead to.
+A harvest writes a snapshot of its own. An incremental one begins with what the last good one has; a full one begins
+empty, so what the provider has dropped is gone. A snapshot counts once it is finished; one that was stopped or failed
+is gone on with by the next harvest of the same checkpoint. A batch is written with its query and number, so one that
+runs again is known. Pages that are no good pages are noted with what they lead to.
 """
 
 from __future__ import annotations
@@ -14,18 +15,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.functions.dates import parse_date
+from colophon.functions.dates import format_for, parse_date
 from colophon.functions.text import content_hash
-from colophon.operators.catalog import catalog_rows, upsert
-from colophon.sources import oai
+from colophon.model import SnapshotStatus
+from colophon.operators.catalog import catalog_rows
+from colophon.sources import lists, oai
+from colophon.streaming.versions import CATALOG, Snapshot, Versions
 
-CATALOG = "id string, identifier string, datestamp timestamp, original_metadata_hash string, deleted boolean"
+__all__ = ["CATALOG", "HarvestFailed", "VersionedCatalog", "harvest", "harvest_lists"]
 
 
 def changes(rows: DataFrame, incremental: bool, prevalid: Column | None = None) -> DataFrame:
     """Catalog rows of harvested records, with ``seq``: live ones with metadata that pass the check, and tombstones.
 
-    A refused update leaves what the catalog has. A full harvest needs no tombstones.
+    A refused update leaves what the catalog has. A full harvest begins empty and needs no tombstones.
     """
     at = parse_date(F.col("datestamp"))
     gone = oai.is_deleted()
@@ -61,80 +64,47 @@ def back_off(tries: int, base: float = 1.0, most: float = 300.0) -> float:
     return min(base * 2**tries, most)
 
 
-class VersionedCatalog:
-    """A catalog as Parquet buckets under one folder, and manifests (JSON) that name the buckets of a version."""
+class HarvestFailed(RuntimeError):
+    """A harvest ended with pages that could not be read; they are named."""
 
-    MANIFEST = "number long, query string, batch long, bucket int, path string"
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+class VersionedCatalog(Versions):
+    """A catalog in versions, with notes about pages. ``buckets`` is taken for older callers; runs are cut by size."""
 
-    def _fs(self, path: str):
-        there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return there.getFileSystem(self.spark._jsc.hadoopConfiguration()), there
-
-    def _exists(self, path: str) -> bool:
-        fs, there = self._fs(path)
-        return fs.exists(there)
-
-    def _manifests(self) -> DataFrame:
-        there = f"{self.path}/manifest"
-        return self.spark.read.schema(self.MANIFEST).json(f"{there}/*") if self._exists(there) else self.spark.createDataFrame([], self.MANIFEST)
-
-    def _current(self) -> tuple[int, dict[int, str]]:
-        """The number of the last version and the path of each of its buckets."""
-        last = self._manifests().groupBy("number").agg(F.collect_list(F.struct("bucket", "path")).alias("paths")).orderBy(F.desc("number")).first()
-        return (last["number"], {r["bucket"]: r["path"] for r in last["paths"] if r["path"]}) if last else (0, {})
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(CATALOG).parquet(*paths) if paths else self.spark.createDataFrame([], CATALOG)
-
-    def read(self) -> DataFrame:
-        return self._read(list(self._current()[1].values()))
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, network_id: int = 0):
+        super().__init__(spark, path, network_id)
 
     def merge(self, delta: DataFrame, batch: int, query: str = "") -> None:
-        """Write the next version; a batch of a query that has been merged already is left alone."""
-        if not self._manifests().where((F.col("query") == query) & (F.col("batch") >= batch)).isEmpty():
+        """One batch as a snapshot of its own; a batch of a query that has been merged already is left alone."""
+        if any(s.batches.get(query, -1) >= batch for s in self.all()):
             return
-        number, paths = self._current()
-        number += 1
-        bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
-        # The batch is read more than once; the number of its buckets is bounded.
-        delta = delta.persist()
-        touched = sorted(r["bucket"] for r in delta.select(bucket.alias("bucket")).distinct().collect())
-        folder = f"{self.path}/version-{number}"
-        merged = upsert(self._read([paths[b] for b in touched if b in paths]), delta)
-        merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(folder)
-        delta.unpersist()
-        stale = {b: paths[b] for b in touched if b in paths}
-        paths |= {b: f"{folder}/bucket={b}" for b in touched if self._exists(f"{folder}/bucket={b}")}
-        # A manifest of a folder of its own appears whole or not at all; without buckets it still notes the batch.
-        rows = [(number, query, batch, b, p) for b, p in paths.items()] or [(number, query, batch, None, None)]
-        self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/{number:012d}")
-        self._forget(number, stale)
-
-    def _forget(self, number: int, stale: dict[int, str]) -> None:
-        """Note which buckets this version replaced, and remove those that the version before replaced: readers of the last version are not disturbed."""
-        there = f"{self.path}/replaced"
-        if self._exists(f"{there}/{number - 1}"):
-            for r in self.spark.read.schema("path string").json(f"{there}/{number - 1}").collect():
-                fs, path = self._fs(r["path"])
-                fs.delete(path, True)
-        self.spark.createDataFrame([(p,) for p in stale.values()], "path string").coalesce(1).write.mode("overwrite").json(f"{there}/{number}")
-
-    def note(self, pages: DataFrame, tries: int, most_tries: int = 3) -> None:
+        snapshot = self.begin()
+        self.append(snapshot, delta, batch, query)
+        self.finish(snapshot)
+
+    def note(self, pages: DataFrame, tries: int, most_tries: int = 3, source: str = "") -> None:
         """Append pages (path, status) that gave no records, with the step that follows."""
         step = F.when(F.col("status") == "ERROR_RETRY", next_step("ERROR_RETRY", tries, most_tries))
-        for status in ("NO_MATCHING_QUERY", "STOP", "ERROR_FATAL"):
+        for status in ("OK", "NO_MATCHING_QUERY", "STOP", "ERROR_FATAL"):
             step = step.when(F.col("status") == status, next_step(status))
-        pages.select("path", "status", F.lit(tries).alias("tries"), step.alias("step")).write.mode("append").parquet(f"{self.path}/notes")
+        pages.select("path", "status", F.lit(tries).alias("tries"), step.alias("step"), F.lit(source).alias("source"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{self.path}/notes")
 
     def notes(self) -> DataFrame:
         """The last note of every page that is no good page."""
         there = f"{self.path}/notes"
-        empty = self.spark.createDataFrame([], "path string, status string, tries int, step string")
-        rows = self.spark.read.schema(empty.schema).parquet(there) if self._exists(there) else empty
-        return rows.groupBy("path").agg(F.max_by(F.struct("status", "tries", "step"), "tries").alias("n")).select("path", "n.*")
+        empty = self.spark.createDataFrame([], "path string, status string, tries int, step string, source string, at timestamp")
+        rows = self.spark.read.schema(empty.schema).parquet(there) if self._names("notes") else empty
+        return rows.groupBy("path").agg(F.max_by(F.struct("status", "tries", "step", "source"), F.struct("at", "tries")).alias("n")).select("path", "n.*")
+
+
+def _settle(catalog: VersionedCatalog, snapshot: Snapshot, failed: list[str], strict: bool) -> int:
+    """Finish a harvest: with its exact size, or as failed if pages are missing or a full one found nothing."""
+    size = catalog.rows(snapshot).where("NOT deleted").count()
+    empty = size == 0 and snapshot.previous_id is None
+    catalog.finish(snapshot, SnapshotStatus.HARVESTING_FINISHED_ERROR if failed or empty else SnapshotStatus.HARVESTING_FINISHED_VALID, size)
+    if failed and strict:
+        raise HarvestFailed(", ".join(failed))
+    return size
 
 
 def harvest(
@@ -148,22 +118,25 @@ def harvest(
     force_full: bool = False,
     most_tries: int = 3,
     wait: Callable[[float], None] = time.sleep,
+    strict: bool = False,
 ) -> int:
-    """Read all waiting pages in micro-batches into the catalog; returns the number of live records.
+    """Read all waiting pages in micro-batches into a snapshot; returns its number of live records.
 
-    A harvest is incremental if the catalog has a version, unless told otherwise. Pages that are no responses are read
-    again, with growing pauses, ``most_tries`` times in all; others without records are noted.
+    A harvest is incremental if there is a good snapshot to begin with, unless told otherwise. Pages that are no
+    responses are read again, with growing pauses, ``most_tries`` times in all; others without records are noted. With
+    pages that could not be read the snapshot has failed: it is not the last good one, the next harvest of the
+    checkpoint reads them again, and ``strict`` raises.
     """
-    if incremental is None:
-        incremental = is_incremental(not catalog._manifests().isEmpty(), force_full)
+    snapshot = catalog.begin(force_full or incremental is False, checkpoint)
+    resumed, incremental = snapshot.status == SnapshotStatus.RETRYING, snapshot.previous_id is not None
 
     def take(found: DataFrame, query: str, number: int, tries: int) -> None:
         judged = found.withColumn("status", oai.page_status(F.col("xml")))
         rows = oai.records(judged.where("status = 'OK'"))
-        catalog.merge(changes(rows, incremental, prevalid(rows) if prevalid else None), number, query)
+        catalog.append(snapshot, changes(rows, incremental, prevalid(rows) if prevalid else None), number, query)
         bad = judged.where("status <> 'OK'").select("path", "status")
         if not bad.isEmpty():
-            catalog.note(bad, tries, most_tries)
+            catalog.note(bad, tries, most_tries, checkpoint)
 
     def merge(batch: DataFrame, number: int) -> None:
         # The id in the checkpoint is that of the query: a fresh checkpoint is another query, whose batches count anew.
@@ -171,8 +144,10 @@ def harvest(
 
     stream = oai.stream_pages(spark, pages, files_per_batch).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()
+    own = F.col("source") == checkpoint
     for tries in range(1, most_tries + 1):
-        again = [r["path"] for r in catalog.notes().where("step = 'retry'").select("path").collect()]
+        wanted = (F.col("step") == "retry") | ((F.col("status") == "ERROR_RETRY") & F.lit(resumed and tries == 1))
+        again = [r["path"] for r in catalog.notes().where(own & wanted).select("path").collect()]
         if not again:
             break
         wait(back_off(tries - 1))
@@ -180,5 +155,51 @@ def harvest(
         good = found.where(oai.page_status(F.col("xml")) == "OK").select("path", F.lit("OK").alias("status"))
         take(found, f"retry-{uuid.uuid4().hex}", 0, tries)
         if not good.isEmpty():
-            good.select("path", "status", F.lit(tries).alias("tries"), F.lit("continue").alias("step")).write.mode("append").parquet(f"{catalog.path}/notes")
-    return catalog.read().where("NOT deleted").count()
+            catalog.note(good, tries, most_tries, checkpoint)
+    failed = [r["path"] for r in catalog.notes().where(own & (F.col("step") == "fail")).select("path").collect()]
+    return _settle(catalog, snapshot, failed, strict)
+
+
+def harvest_lists(
+    spark: SparkSession,
+    fetch_since: Callable[[str | None], Callable[[str, str], str]],
+    sets: list[str],
+    catalog: VersionedCatalog,
+    checkpoint: str,
+    full: bool = False,
+    prevalid: Callable[[DataFrame], Column] | None = None,
+    granularity: str | None = None,
+    pages: int = 100,
+    tries: int = 3,
+    wait: Callable[[float], None] = time.sleep,
+    strict: bool = False,
+) -> int:
+    """Harvest the lists of a provider, one for each set, into a snapshot; returns its number of live records.
+
+    ``fetch_since`` gets the high-water mark (the start of the snapshot that an incremental harvest begins with, in the
+    provider's granularity, or None) and returns the fetch of ``sources.lists``. A harvest that was stopped or failed
+    goes on at its tokens.
+    """
+    snapshot = catalog.begin(full, checkpoint)
+    previous = next((s for s in catalog.all() if s.id == snapshot.previous_id), None)
+    mark = spark.range(1).select(format_for(F.lit(previous.start_time).cast("timestamp"), granularity)).first()[0] if previous else None
+    own, failed = f"{checkpoint}/{snapshot.id}", []
+    name = f"colophon_lists_{uuid.uuid4().hex}"
+    lists.register(spark, name, fetch_since(mark), wait)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        bad = batch.where("status <> 'OK'").select(F.concat_ws("#", "set_spec", F.col("page").cast("string")).alias("path"), "status", "tries").collect()  # one row for each list at most
+        rows = oai.records(batch.where("status = 'OK'"))
+        catalog.append(snapshot, changes(rows, previous is not None, prevalid(rows) if prevalid else None), number, own)
+        batch.unpersist()
+        if bad:
+            catalog.note(spark.createDataFrame(bad), tries, tries, own)
+        failed.extend(r["path"] for r in bad if r["status"].startswith("ERROR"))
+
+    query = lists.stream_lists(spark, name, sets, f"{own}/lists", pages, tries).writeStream.foreachBatch(merge).option("checkpointLocation", f"{own}/query").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return _settle(catalog, snapshot, failed, strict)
