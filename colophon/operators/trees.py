@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,12 +63,14 @@ def nodes(df: DataFrame, xml: str, key: str = "record_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0)
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            keys, rows, counts = batch.column(0), [], []
+            for text in batch.column(1).to_pylist():
                 found = _nodes_of(text)
-                if found:
-                    columns = list(zip(*found))
-                    yield pa.record_batch([pa.array([keys[i].as_py()] * len(found), keys.type), *[pa.array(c, f.type) for c, f in zip(columns, _KIND)]], names=[key, *_KIND.names])
+                rows += found
+                counts.append(len(found))
+            if rows:
+                of = pa.array(np.repeat(np.arange(len(counts)), counts))
+                yield pa.record_batch([keys.take(of), *[pa.array(c, f.type) for c, f in zip(zip(*rows), _KIND)]], names=[key, *_KIND.names])
 
     return rows.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, {NODE}")
 
