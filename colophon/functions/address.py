@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The steps of the record tree, which addresses are written against.
 ROOT = "/*[local-name()='metadata']"
+ELEMENT, FIELD = "local-name()='element'", "local-name()='field'"
 
 
 def _quoted(name: str) -> str:
@@ -16,7 +18,7 @@ def _quoted(name: str) -> str:
 def xpath_of(address: str) -> str:
     """The node path of an address: elements by name, ``*`` for any element below, ``$`` to stop at the element."""
     if not address:
-        return f"{ROOT}/*[local-name()='field' and @name='value']"
+        return f"{ROOT}/*[{FIELD} and @name='value']"
     parts, field = address.split("."), "value"
     if ":" in parts[-1]:
         parts[-1], field = parts[-1].split(":", 1)
@@ -24,8 +26,8 @@ def xpath_of(address: str) -> str:
     for part in parts:
         if part == "$":
             return path
-        path += "//*[local-name()='element']" if part == "*" else f"/*[local-name()='element' and @name={_quoted(part)}]"
-    return f"{path}/*[local-name()='field' and @name={_quoted(field)}]"
+        path += f"//*[{ELEMENT}]" if part == "*" else f"/*[{ELEMENT} and @name={_quoted(part)}]"
+    return f"{path}/*[{FIELD} and @name={_quoted(field)}]"
 
 
 def occurrences(xml: Column, address: str) -> Column:

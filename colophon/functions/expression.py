@@ -27,6 +27,12 @@ def atom_verdict(n: Column, valid: Column, quantifier: str) -> Column:
     return {"ONE_ONLY": valid == 1, "ONE_OR_MORE": valid >= 1, "ZERO_OR_MORE": F.lit(True), "ZERO_ONLY": valid == 0, "ALL": valid == n}[quantifier]
 
 
+def atom_fields(text: str) -> list[str]:
+    """The field of each readable atom, in order; an atom that stands twice counts twice."""
+    found = [ATOM.fullmatch(t) for t in TOKEN.findall(text or "") if t not in ("(", ")", "AND", "OR", "NOT")]
+    return [f.group(1) for f in found if f]
+
+
 def compile_expression(text: str, field: Callable[[str], Column], quantifier: str = "ONE_OR_MORE") -> Column:
     """One boolean column; ``field`` gives the array of a field's occurrences. Unreadable expressions are false."""
     tokens = TOKEN.findall(text or "")

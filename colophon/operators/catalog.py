@@ -62,6 +62,14 @@ def write_catalog(catalog: DataFrame, path: str, rows_per_file: int = 100_000) -
     ready.write.option("maxRecordsPerFile", rows_per_file).option("compression", "snappy").option("parquet.page.size", 1 << 20).option("parquet.block.size", 128 << 20).mode("overwrite").parquet(path)
 
 
+def write_for_look_up(rows: DataFrame, path: str, key: str = "id", others: tuple[str, ...] = ("identifier",), rows_per_group: int = 100_000) -> None:
+    """Files sorted by a hash key, with Bloom filters on other columns: a look-up by either reads few row groups."""
+    writer = rows.repartitionByRange(key).sortWithinPartitions(key).write.option("parquet.block.row.count.limit", rows_per_group)
+    for c in others:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", rows_per_group)
+    writer.parquet(path)
+
+
 def migrate(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows fit for the new catalog (a null ``deleted`` is false), and one row of counts: migrated, skipped."""
     fit = source.where("identifier IS NOT NULL").withColumn("deleted", F.coalesce("deleted", F.lit(False)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colophon.functions.text import index_fingerprint
 from colophon.operators.validators import ValidatorRule
 
 FIXED = ["identifier_hash", "identifier", "datestamp", "is_valid", "is_transformed", "published_metadata_hash"]
@@ -76,6 +77,17 @@ def index_columns(records: DataFrame) -> DataFrame:
     return records.select(*[c for c in FIXED if c in records.columns])
 
 
+def index_documents(records: DataFrame, vectors: DataFrame, network: str, dimension: int, key: str = "identifier_hash") -> DataFrame:
+    """What a search index with vectors takes of each valid record: id, identifier, network and its vector.
+
+    ``vectors`` has the key and ``embedding``; a vector of another dimension counts as absent, and a record without
+    one is indexed all the same.
+    """
+    fitting = vectors.where(F.size("embedding") == dimension).select(key, F.col("embedding").alias("vector"))
+    rows = to_index(records).join(fitting, key, "left")
+    return rows.select(index_fingerprint(F.lit(network), F.col(key)).alias("id"), "identifier", F.lit(network).alias("network"), "vector")
+
+
 def to_index(records: DataFrame, only_valid: bool = True, content: dict[str, list[str]] | None = None) -> DataFrame:
     """Valid records whose fields have, for every field of ``content``, at least one of its values."""
     out = records.where("is_valid") if only_valid else records

@@ -453,6 +453,12 @@ def transform(records: DataFrame, rules: list[TransformerRule], flag: str = "is_
     return out
 
 
+def transform_in_turn(records: DataFrame, primary: list[TransformerRule], secondary: list[TransformerRule], now: Column, datestamp: str = "datestamp", flag: str = "is_transformed") -> DataFrame:
+    """The primary rules and then the secondary ones; a record that any of them changed has the datestamp ``now``."""
+    out = transform(transform(records, primary, flag), secondary, flag)
+    return out.withColumn(datestamp, F.when(F.col(flag), now).otherwise(F.col(datestamp)))
+
+
 def translate_by_table(occurrences: DataFrame, dictionary: DataFrame, order: str | None = None) -> DataFrame:
     """Dictionaries of any size: occurrence rows with ``translated``, looked up without regard to case.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.functions.address import node_count
-from colophon.functions.expression import compile_expression, whole
+from colophon.functions.expression import atom_fields, compile_expression, whole
 from colophon.model import QUANTIFIERS, BadRule, Registered
 from colophon.operators import fields
 from colophon.shipping import ship
@@ -195,6 +195,12 @@ class FieldExpression(ValidatorRule):
     def verdict(self, get: Callable[[str], Column]) -> Column:
         return compile_expression(self.expression, get, "ONE_OR_MORE" if self.legacy_quantifier else self.quantifier)
 
+    def details(self, get: Callable[[str], Column]) -> Column:
+        """A row for each atom whose field has no occurrence; the others leave none."""
+        none = F.struct(F.lit(False).alias("is_valid"), F.lit(NO_OCCURRENCES).alias("value"))
+        rows = [F.when(F.size(get(name)) == 0, none) for name in atom_fields(self.expression)]
+        return F.array_compact(F.array(*rows)) if rows else super().details(get)
+
 
 def record_verdict(rules: list[ValidatorRule], verdicts: list[Column]) -> Column:
     """True where every mandatory rule holds."""

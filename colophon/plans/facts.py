@@ -149,6 +149,18 @@ def d_fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.fact_table(doc_facts(spark, sf_dir), _occurrences(spark, sf_dir), dims)
 
 
+@query(f"""WITH {DOC_FACTS} SELECT 'N1_' || identifier_hash AS id, identifier, 'N1' AS network, len(e.embedding) AS dimensions, CAST(e.embedding[1] AS DOUBLE) AS first
+FROM f LEFT JOIN embeddings e ON e.vec_id = f.doc_id AND e.vec_id % 3 <> 0 WHERE is_valid""")
+def k_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid documents with their vectors; every third vector is of another dimension and counts as absent."""
+    facts = doc_facts(spark, sf_dir)
+    of = facts.select("identifier_hash", F.element_at(F.split("identifier", ":"), -1).cast("long").alias("vec_id"))
+    cut = F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", cut.alias("embedding")).join(of, "vec_id").select("identifier_hash", "embedding")
+    out = f.index_documents(facts, vectors, "N1", 64)
+    return out.select("id", "identifier", "network", F.when(F.col("vector").isNotNull(), F.size("vector")).cast("long").alias("dimensions"), F.get("vector", F.lit(0)).cast("double").alias("first"))
+
+
 @query(f"WITH {DOC_FACTS} SELECT identifier_hash, identifier, is_valid, is_transformed FROM f WHERE is_valid AND lang IN ('en', 'de') AND source IN ('src0', 'src7', 'src12')")
 def f_to_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f.to_index(doc_facts(spark, sf_dir), content={"lang": ["en", "deu"], "source": ["src0", "src7", "src12"]})

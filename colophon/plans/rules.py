@@ -108,6 +108,15 @@ def v_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("record_id", *[compile_expression(e, lambda name: F.col(name)).alias(k) for k, e in EXPRESSIONS.items()])
 
 
+@query("""SELECT doc_id AS record_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, CASE WHEN lang IN ('fr', 'de') THEN 0 ELSE 2 END + CASE WHEN source LIKE '%1%' THEN 1 ELSE 0 END AS n FROM documents) GROUP BY doc_id""")
+def v_expression_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many atoms of an expression found no occurrence of their field."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.array_compact(F.array(F.when(F.col("lang").isin("fr", "de"), F.col("lang")))).alias("lang"), F.array_compact(F.array(F.when(~F.col("source").like("%1%"), F.col("source")))).alias("source"))
+    rule = v.FieldExpression(rule_id=1, expression="(lang=='fr' OR lang=='de') AND NOT source=='src2'", store_occurrences=True)
+    found = v.validate(docs, [rule], details=True)
+    return found.select("record_id", F.size(F.filter("details", lambda d: d["value"] == v.NO_OCCURRENCES)).alias("n")).groupBy("record_id").agg(F.sum("n").alias("n"))
+
+
 @query(f"""WITH {LINE_RECORDS}, n AS (SELECT record_id, len(flags) AS n, len(list_filter(flags, lambda x: x = 'RF')) AS v FROM r)
 SELECT record_id, v = 1 AS one_only, v >= 1 AS one_or_more, true AS zero_or_more, v = 0 AS zero_only, v = n AS "all" FROM n""")
 def v_expression_quant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,6 +252,17 @@ def t_translate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("record_id").agg(F.count("*").alias("n"), F.count("translated").alias("n_translated"), F.max("translated").alias("last_translated"))
 
 
+@query(f"""WITH {LINE_RECORDS} SELECT record_id, array_to_string(list_transform(flags, lambda x: CASE x WHEN 'RF' THEN 'Z' ELSE x END), '|') AS flags, CASE WHEN list_contains(flags, 'RF') THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2020-01-01' END AS datestamp, list_contains(flags, 'RF') AS is_transformed
+FROM (SELECT record_id, list_filter(flags, lambda x, i: x <> 'RF' OR list_position(flags, x) = i) AS kept, flags FROM r) WHERE len(list_filter(flags, lambda x: x = 'RF')) <= 1 AND (NOT list_contains(flags, 'RF') OR flags[-1] = 'RF')""")
+def t_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A primary and a secondary transformer: RF to Y and Y to Z; the datestamp is renewed where either changed a record. Records whose one RF stands last, or without any."""
+    records = line_records(spark, sf_dir).withColumn("datestamp", F.lit("2020-01-01").cast("timestamp_ntz"))
+    shown = records.where("size(filter(flags, x -> x = 'RF')) = 0 OR (size(filter(flags, x -> x = 'RF')) = 1 AND element_at(flags, -1) = 'RF')")
+    step = lambda a, b: [t.Translate(test_field="flags", write_field="flags", dictionary={a: b})]
+    out = t.transform_in_turn(shown, step("RF", "Y"), step("Y", "Z"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    return out.select("record_id", F.array_join("flags", "|").alias("flags"), "datestamp", "is_transformed")
+
+
 @query(f"WITH {LINE_RECORDS} SELECT record_id, 'flags' AS field, unnest(range(len(flags)))::INTEGER AS pos, unnest(flags) AS value FROM r")
 def d_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records to occurrence rows and back to records and rows again."""

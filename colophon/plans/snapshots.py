@@ -11,7 +11,7 @@ from colophon.operators import snapshots as s
 from colophon.plans.adapters import CATALOG, SNAPSHOTS, catalog, snapshots
 from colophon.plans.registry import query, table
 from colophon.shipping import scratch
-from colophon.sources import lists
+from colophon.sources import lists, oai
 from colophon.streaming import harvest
 
 _ROW = "id, network_id, status, end_time"
@@ -213,6 +213,42 @@ def s_diff_by_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.bucketed_difference(spark, f"{there}/old", f"{there}/new", with_same=True)
 
 
+@query(f"WITH {CATALOG} SELECT id, identifier, original_metadata_hash FROM c WHERE NOT deleted")
+def k_catalog_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog written as files and read again; tombstones, which have no hash, are left out."""
+    there = scratch(spark, "catalog-file")
+    c.write_catalog(catalog(spark, sf_dir).select("id", "identifier", F.lit("2020-01-01").cast("timestamp").alias("datestamp"), "original_metadata_hash", "deleted"), there, 500)
+    return spark.read.parquet(there).select("id", "identifier", "original_metadata_hash")
+
+
+@query(f"WITH {CATALOG} SELECT network, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'A' WHEN doc_id % 3 = 1 THEN 'B' ELSE 'C' END AS network FROM c WHERE NOT deleted) WHERE network <> 'B' GROUP BY network")
+def k_unindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three networks are indexed, one of them twice, and one is taken out."""
+    there, rows = scratch(spark, "index"), catalog(spark, sf_dir)
+    for network, of in (("A", "doc_id % 3 = 1"), ("B", "doc_id % 3 = 1"), ("C", "doc_id % 3 = 2"), ("A", "doc_id % 3 = 0")):
+        c.write_index(c.live(rows).where(of).select("id", "identifier"), there, network)
+    c.unindex(spark, there, "B")
+    return c.read_index(spark, there).groupBy("network").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'N' || (o_custkey % 5) AS network, CAST(count(*) AS BIGINT) AS n FROM orders WHERE year(o_orderdate) = 1995 GROUP BY 1")
+def k_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots in folders by network and snapshot; one snapshot is read by its folders alone."""
+    there = scratch(spark, "layout")
+    c.layout(table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("N"), (F.col("o_custkey") % 5).cast("string")).alias("network"), F.year("o_orderdate").alias("snapshot_id")), there)
+    return spark.read.parquet(there).where("snapshot_id = 1995").groupBy("network").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CATALOG} SELECT id, identifier FROM c WHERE identifier IN (SELECT identifier FROM c WHERE doc_id IN (5, 77)) OR id IN (SELECT id FROM c WHERE doc_id = 99)")
+def r_look_up_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-ups by hash and by identifier in files sorted by hash with Bloom filters."""
+    there, rows = scratch(spark, "look-up"), catalog(spark, sf_dir)
+    c.write_for_look_up(rows.select("id", "identifier"), there)
+    wanted = rows.where("doc_id IN (5, 77, 99)").select("doc_id", "id", "identifier").collect()  # three rows
+    by = lambda ids, column: [r[column] for r in wanted if r["doc_id"] in ids]
+    return spark.read.parquet(there).where(F.col("identifier").isin(by((5, 77), "identifier")) | F.col("id").isin(by((99,), "id")))
+
+
 # ---- harvesting ----
 
 
@@ -249,6 +285,32 @@ def i_list_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("id", "identifier", "deleted", "original_metadata_hash")
 
 
+@query("SELECT 'page:' || page_id AS identifier FROM pages WHERE page_id % 4 = 1")
+def i_missing_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live records that are listed without metadata; deleted ones are not missing."""
+    record = F.concat(F.lit("<record><header"), F.when(F.col("page_id") % 4 == 2, " status='deleted'").otherwise(""), F.lit("><identifier>page:"), F.col("page_id").cast("string"), F.lit("</identifier></header>"), F.when(F.col("page_id") % 4 == 3, "<metadata><m/></metadata>").when(F.col("page_id") % 4 == 0, "<metadata>x</metadata>").otherwise(""), F.lit("</record>"))
+    xml = F.concat(F.lit("<ListRecords>"), F.array_join(F.collect_list(record), ""), F.lit("</ListRecords>"))
+    pages = table(spark, sf_dir, "pages").groupBy(F.expr("page_id div 40").alias("path")).agg(xml.alias("xml"))
+    return oai.missing_metadata(oai.records(pages))
+
+
+@query("SELECT n_name AS name, 'http://' || lower(r_name) AS url, CAST(NULL AS VARCHAR) AS compression FROM nation JOIN region ON n_regionkey = r_regionkey")
+def x_identify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses to Identify as maps."""
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    xml = F.concat(F.lit("<o:OAI xmlns:o='u'><o:Identify><o:repositoryName>"), "n_name", F.lit("</o:repositoryName><o:baseURL> http://"), F.lower("r_name"), F.lit("</o:baseURL></o:Identify></o:OAI>"))
+    entry = lambda k: F.try_element_at("identify", F.lit(k))
+    return oai.identify(rows.select(xml.alias("xml"))).select(entry("repositoryName").alias("name"), entry("baseURL").alias("url"), entry("compression").alias("compression"))
+
+
+@query("SELECT 's' || n_nationkey AS set_spec, CASE WHEN n_nationkey % 4 <> 0 THEN n_name END AS set_name FROM nation")
+def x_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses to ListSets, one for each region; some sets have no name."""
+    name = F.when(F.col("n_nationkey") % 4 != 0, F.concat(F.lit("<setName>"), "n_name", F.lit("</setName>"))).otherwise("")
+    one = F.concat(F.lit("<set><setSpec>s"), F.col("n_nationkey").cast("string"), F.lit("</setSpec>"), name, F.lit("</set>"))
+    return oai.sets(table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("<ListSets>"), F.array_join(F.collect_list(one), ""), F.lit("</ListSets>")).alias("xml")))
+
+
 @query("SELECT CAST(count(*) FILTER (WHERE doc_id % 9 <> 0) AS BIGINT) AS migrated, CAST(count(*) FILTER (WHERE doc_id % 9 = 0) AS BIGINT) AS skipped FROM documents")
 def k_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog(spark, sf_dir).withColumn("identifier", F.when(F.col("doc_id") % 9 != 0, F.col("identifier")))

@@ -79,6 +79,22 @@ def a_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talks.select("record_id", text.joined_occurrences(F.col("texts")).alias("joined"))
 
 
+@query("SELECT c_custkey, c_mktsegment || '_' || md5(c_name) AS fingerprint FROM customer")
+def x_index_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", text.index_fingerprint(F.col("c_mktsegment"), text.record_id(F.col("c_name"))).alias("fingerprint"))
+
+
+@query("""SELECT page_id AS record_id, 'ORIGINAL' AS type, 'f' || page_id || '.pdf' AS filename, 'http://h/a b/' || page_id AS url, CASE WHEN page_id % 2 = 0 THEN 'text/html' ELSE 'application/pdf' END AS mime,
+CASE WHEN page_id % 3 = 0 THEN 'c' || page_id ELSE md5('http://h/a%20b/' || page_id) END AS checksum FROM pages""")
+def x_bitstreams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attached files, read from record trees; format and checksum have defaults."""
+    n = F.col("page_id").cast("string")
+    field = lambda name, value: F.concat(F.lit(f'<field name="{name}">'), value, F.lit("</field>"))
+    fields = F.concat(field("name", F.concat(F.lit("f"), n, F.lit(".pdf"))), field("url", F.concat(F.lit("http://h/a%20b/"), n)), F.when(F.col("page_id") % 2 == 0, field("format", F.lit("text/html"))).otherwise(""), F.when(F.col("page_id") % 3 == 0, field("checksum", F.concat(F.lit("c"), n))).otherwise(""))
+    xml = F.concat(F.lit('<metadata><element name="bundles"><element name="bundle"><field name="name">ORIGINAL</field><element name="bitstreams"><element name="bitstream">'), fields, F.lit("</element></element></element></element></metadata>"))
+    return files.bitstreams(table(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), xml.alias("xml"))).drop("sid")
+
+
 @query()
 def x_xxhash64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.xxhash64_seed0(F.col("text")).alias("hash"))
