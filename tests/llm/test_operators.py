@@ -212,6 +212,27 @@ def test_secrets_markov(awkward, small):
     assert (direct["random"][0]["start"], direct["random"][0]["end"]) == (31, 55)
 
 
+def test_secrets_recall_and_false_alarms(spark):
+    """Random strings of several kinds, also after a name, and names that are none, each alone in a text."""
+    import string
+
+    rng = random.Random(5)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    both_cases, low = string.ascii_letters + string.digits, string.ascii_lowercase + string.digits
+    kinds = {
+        "mixed 24": (0.95, lambda: pick(both_cases, 24)), "base64 40": (0.99, lambda: pick(both_cases + "+/", 40)), "lower 24": (0.9, lambda: pick(low, 24)), "upper hex 32": (0.95, lambda: pick("0123456789ABCDEF", 32)),
+        "uuid": (0.95, lambda: "-".join(pick("0123456789abcdef", n) for n in (8, 4, 4, 4, 12))), "after a name": (0.95, lambda: "client_authorization_credential_" + pick(both_cases, 24)), "mixed 16": (0.5, lambda: pick(both_cases, 16)),
+    }
+    names = "HttpServletRequestWrapperFactory ABSTRACT_SINGLETON_PROXY_FACTORY org/apache/hadoop/mapreduce/lib /usr/local/lib/python3/site-packages getElementsByTagNameNS max_number_of_retries_exceeded internationalization application/x-www-form-urlencoded 2024-01-01/report_final_v2 the-quick-brown-fox-jumps-over AbstractBeanFactoryPostProcessor CONFIG_DEFAULT_TCP_CONGESTION 0123456789abcdefghij xxxxxxxxxxxxxxxxxxxxxxxx -------------------------------- /home/user/projects/docs/readme utf8mb4_unicode_520_ci libstdc++-compatibility-headers ThreadPoolTaskSchedulerBuilder".split()
+    rows = [(kind, f()) for kind, (_, f) in kinds.items() for _ in range(100)] + [("name", n) for n in names]
+    texts = spark.createDataFrame([(i, kind, f"see {s} here") for i, (kind, s) in enumerate(rows)], "doc_id long, kind string, text string")
+    model = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    found = secrets.scan(texts, model).join(texts.select("doc_id", "kind"), "doc_id").where("size(random) > 0").groupBy("kind").count().collect()
+    rate = {r["kind"]: r["count"] / (len(names) if r["kind"] == "name" else 100) for r in found}
+    assert rate.get("name", 0) == 0
+    assert all(rate.get(kind, 0) >= least for kind, (least, _) in kinds.items()), rate
+
+
 def test_spans_are_code_points(spark):
     df = spark.createDataFrame([("é😀 aXXb XX",)], "t string")
     assert [(s["start"], s["end"]) for s in df.select(secrets.spans(F.col("t"), "X+").alias("s")).first()["s"]] == [(4, 6), (8, 10)]
