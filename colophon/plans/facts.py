@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colophon.operators import contains, counters
 from colophon.operators import facts as f
 from colophon.operators import stats as s
-from colophon.plans.adapters import DOC_FACTS, RULES, doc_facts
+from colophon.plans.adapters import DOC_FACTS, RULES, doc_facts, stored_facts
 from colophon.plans.registry import query, table
 from colophon.shipping import scratch
 
@@ -27,17 +27,17 @@ def v_record_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DOC_FACTS} {_COUNTS}")
 def r_multi_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.counts(doc_facts(spark, sf_dir))
+    return s.counts(stored_facts(spark, sf_dir))
 
 
 @query(f"WITH {DOC_FACTS} {_COUNTS} WHERE {_FILTERED}")
 def r_filtered_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.counts(doc_facts(spark, sf_dir), FILTERS)
+    return s.counts(stored_facts(spark, sf_dir), FILTERS)
 
 
 @query(f"WITH {DOC_FACTS} {_COUNTS} WHERE false")
 def r_empty_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.counts(doc_facts(spark, sf_dir).where(F.lit(False)))
+    return s.counts(stored_facts(spark, sf_dir), ["identifier@@no such identifier"])
 
 
 _FACETS = f"""c AS ({{counts}}), u AS (
@@ -49,12 +49,12 @@ _FACETS = f"""c AS ({{counts}}), u AS (
 
 @query(f"WITH {DOC_FACTS}, {_FACETS.format(counts=_COUNTS)} SELECT facet, value, count FROM u WHERE count > 0")
 def r_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.facets(doc_facts(spark, sf_dir))
+    return s.facets(stored_facts(spark, sf_dir))
 
 
 @query(f"WITH {DOC_FACTS}, {_FACETS.format(counts=_COUNTS + ' WHERE ' + _FILTERED)} SELECT facet, value, count FROM u WHERE count > 0 OR facet LIKE 'record%'")
 def r_filtered_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.facets(doc_facts(spark, sf_dir), FILTERS)
+    return s.facets(stored_facts(spark, sf_dir), FILTERS)
 
 
 _NAMES = ", ".join(f"({r.rule_id}, '{r.name}', '{r.quantifier}', {str(r.mandatory).lower()})" for r in RULES) + ", (9, 'unused', 'ALL', false)"
@@ -64,14 +64,14 @@ _NAMES = ", ".join(f"({r.rule_id}, '{r.name}', '{r.quantifier}', {str(r.mandator
 SELECT CAST(d.rule_id AS BIGINT) AS rule_id, d.name, d.quantifier, d.mandatory, coalesce(k.valid, 0) AS valid, k.invalid FROM (VALUES {_NAMES}) d(rule_id, name, quantifier, mandatory) LEFT JOIN k USING (rule_id)""")
 def r_rule_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     definitions = f.rule_definitions(spark, [*RULES, type(RULES[1])(rule_id=9, name="unused", quantifier="ALL")])
-    return s.rule_statistics(doc_facts(spark, sf_dir), definitions, FILTERS).select("rule_id", "name", "quantifier", "mandatory", "valid", "invalid")
+    return s.rule_statistics(stored_facts(spark, sf_dir), definitions, FILTERS).select("rule_id", "name", "quantifier", "mandatory", "valid", "invalid")
 
 
 _OCCURRENCES = "o AS (SELECT identifier_hash, CAST(3 AS BIGINT) AS rule_id, rule_3 AS is_valid, source AS occurrence_value FROM v UNION ALL SELECT identifier_hash, CAST(2 AS BIGINT), rule_2, CASE lang WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' ELSE lang END FROM v UNION ALL SELECT identifier_hash, CAST(4 AS BIGINT), x = '1', x FROM (SELECT identifier_hash, unnest(CASE WHEN q.quality IS NULL THEN ['no_occurrences_found'] ELSE q.quality END) AS x FROM v LEFT JOIN q ON v.doc_id = q.doc_id))"
 
 
 def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return f.rule_occurrences(doc_facts(spark, sf_dir, details=True))
+    return f.rule_occurrences(stored_facts(spark, sf_dir, details=True))
 
 
 @query(f"WITH {DOC_FACTS}, {_OCCURRENCES} SELECT * FROM o")
@@ -98,7 +98,7 @@ _ALL_COUNTERS = f"""p AS ({' UNION ALL '.join([
 @query(f"WITH {DOC_FACTS}, {_OCCURRENCES}, g AS (SELECT * FROM f WHERE doc_id % 11 <> 0), {_ALL_COUNTERS}")
 def a_counters_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of a snapshot from those of the one before: inserted, changed and deleted records."""
-    facts = doc_facts(spark, sf_dir, details=True).withColumn("doc_id", F.element_at(F.split("identifier", ":"), -1).cast("long"))
+    facts = stored_facts(spark, sf_dir, details=True).withColumn("doc_id", F.element_at(F.split("identifier", ":"), -1).cast("long"))
     now = facts.where("doc_id % 11 <> 0")
     # Before: every fifth document is not there yet, every seventh was not transformed and failed two rules, every eleventh is still there.
     was = facts.where("doc_id % 5 <> 0")
@@ -113,24 +113,24 @@ def a_counters_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DOC_FACTS} SELECT identifier, is_valid FROM f WHERE rule_2 ORDER BY identifier LIMIT 20 OFFSET 40")
 def r_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.page(doc_facts(spark, sf_dir), 2, 20, filters=["valid_rules@@2"]).select("identifier", "is_valid")
+    return s.page(stored_facts(spark, sf_dir), 2, 20, filters=["valid_rules@@2"]).select("identifier", "is_valid")
 
 
 @query(f"WITH {DOC_FACTS} SELECT identifier, is_valid FROM f WHERE identifier > 'oai:src1' AND is_valid ORDER BY identifier LIMIT 25")
 def r_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.next_page(doc_facts(spark, sf_dir), "identifier", "oai:src1", 25, F.col("is_valid")).select("identifier", "is_valid")
+    return s.next_page(stored_facts(spark, sf_dir), "identifier", "oai:src1", 25, F.col("is_valid")).select("identifier", "is_valid")
 
 
 @query(f"WITH {DOC_FACTS} SELECT identifier_hash, is_valid FROM f WHERE identifier = (SELECT max(identifier) FROM f WHERE doc_id = 5)")
 def r_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "documents").where("doc_id = 5").select("source")
     wanted = source.select(F.concat_ws(":", F.lit("oai"), "source", F.lit("5")).alias("identifier"))
-    return doc_facts(spark, sf_dir).join(F.broadcast(wanted), "identifier", "left_semi").select("identifier_hash", "is_valid")  # one row
+    return stored_facts(spark, sf_dir).join(F.broadcast(wanted), "identifier", "left_semi").select("identifier_hash", "is_valid")  # one row
 
 
 @query(f"WITH {DOC_FACTS} SELECT identifier_hash, array_to_string(list_filter(['1', '2', '3', '4'], lambda x, i: [rule_1, rule_2, rule_3, rule_4][i]), ',') AS valid_rules, array_to_string(list_filter(['1', '2', '3', '4'], lambda x, i: NOT [rule_1, rule_2, rule_3, rule_4][i]), ',') AS invalid_rules, CAST(NULL AS VARCHAR) AS set_spec, 'N1' AS network_acronym FROM f")
 def f_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f.observations(doc_facts(spark, sf_dir), {"network_acronym": "N1"})
+    out = f.observations(stored_facts(spark, sf_dir), {"network_acronym": "N1"})
     return out.select("identifier_hash", F.array_join("valid_rules", ",").alias("valid_rules"), F.array_join("invalid_rules", ",").alias("invalid_rules"), "set_spec", "network_acronym")
 
 
@@ -138,7 +138,7 @@ def f_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT identifier_hash, rule_id, string_agg(occurrence_value, ',' ORDER BY occurrence_value) FILTER (WHERE is_valid) AS a, string_agg(occurrence_value, ',' ORDER BY occurrence_value) FILTER (WHERE NOT is_valid) AS b FROM o GROUP BY ALL)
 SELECT identifier_hash, rule_id, rule_is_valid, coalesce(a, '') AS valid_values, coalesce(b, '') AS invalid_values FROM l LEFT JOIN g USING (identifier_hash, rule_id)""")
 def f_record_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f.facts_of_records(doc_facts(spark, sf_dir), _occurrences(spark, sf_dir))
+    out = f.facts_of_records(stored_facts(spark, sf_dir), _occurrences(spark, sf_dir))
     return out.select("identifier_hash", "rule_id", "rule_is_valid", F.array_join("valid_values", ",").alias("valid_values"), F.array_join("invalid_values", ",").alias("invalid_values"))
 
 
@@ -146,14 +146,14 @@ def f_record_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 o.is_valid, f.is_valid AS record_is_valid, f.is_transformed, 'oai_dc' AS metadata_prefix, 'all' AS set_spec FROM o JOIN f USING (identifier_hash)""")
 def d_fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = spark.createDataFrame([(1, "http://o", "N1", "R", "I", "oai_dc", "all")], "snapshot_id int, origin string, network string, repository string, institution string, metadata_prefix string, set_spec string")
-    return f.fact_table(doc_facts(spark, sf_dir), _occurrences(spark, sf_dir), dims)
+    return f.fact_table(stored_facts(spark, sf_dir), _occurrences(spark, sf_dir), dims)
 
 
 @query(f"""WITH {DOC_FACTS} SELECT 'N1_' || identifier_hash AS id, identifier, 'N1' AS network, len(e.embedding) AS dimensions, CAST(e.embedding[1] AS DOUBLE) AS first
 FROM f LEFT JOIN embeddings e ON e.vec_id = f.doc_id AND e.vec_id % 3 <> 0 WHERE is_valid""")
 def k_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid documents with their vectors; every third vector is of another dimension and counts as absent."""
-    facts = doc_facts(spark, sf_dir)
+    facts = stored_facts(spark, sf_dir)
     of = facts.select("identifier_hash", F.element_at(F.split("identifier", ":"), -1).cast("long").alias("vec_id"))
     cut = F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", cut.alias("embedding")).join(of, "vec_id").select("identifier_hash", "embedding")
@@ -163,13 +163,13 @@ def k_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DOC_FACTS} SELECT identifier_hash, identifier, is_valid, is_transformed FROM f WHERE is_valid AND lang IN ('en', 'de') AND source IN ('src0', 'src7', 'src12')")
 def f_to_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f.to_index(doc_facts(spark, sf_dir), content={"lang": ["en", "deu"], "source": ["src0", "src7", "src12"]})
+    out = f.to_index(stored_facts(spark, sf_dir), content={"lang": ["en", "deu"], "source": ["src0", "src7", "src12"]})
     return f.index_columns(out).select("identifier_hash", "identifier", "is_valid", "is_transformed")
 
 
 @query(f"WITH {DOC_FACTS} SELECT identifier_hash, rule_1, rule_3, false AS rule_8 FROM f")
 def d_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = doc_facts(spark, sf_dir)
+    facts = stored_facts(spark, sf_dir)
     return f.pivot_verdicts(facts.select("identifier_hash", f.verdict_map(facts).alias("rule_results")), [1, 3, 8])
 
 
@@ -177,7 +177,7 @@ def d_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a_rule_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colophon.functions.text import rule_details
 
-    ordered = doc_facts(spark, sf_dir, details=True).withColumn("d", F.array_sort(F.transform("details", lambda d: F.struct(d["rule_id"].alias("rule_id"), d["value"].alias("value")))))
+    ordered = stored_facts(spark, sf_dir, details=True).withColumn("d", F.array_sort(F.transform("details", lambda d: F.struct(d["rule_id"].alias("rule_id"), d["value"].alias("value")))))
     return ordered.select("identifier_hash", rule_details(F.col("d")).alias("details"))
 
 
@@ -209,7 +209,7 @@ def f_contains_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page, identifier, is_valid FROM n WHERE page IN (0, last // 2, last)""")
 def r_page_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First, middle and last page, each a range of keys."""
-    records = doc_facts(spark, sf_dir)
+    records = stored_facts(spark, sf_dir)
     there = scratch(spark, "directory")
     s.page_directory(records, "identifier", 20).write.parquet(there)
     directory = spark.read.parquet(there)
@@ -230,11 +230,11 @@ def f_status_in_between(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DOC_FACTS} SELECT count(*) AS n, count(*) FILTER (WHERE is_transformed) AS n_transformed FROM f WHERE rule_2")
 def a_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.count_by_status(doc_facts(spark, sf_dir).withColumn("status", F.col("rule_2").cast("int")), [1])
+    return s.count_by_status(stored_facts(spark, sf_dir).withColumn("status", F.col("rule_2").cast("int")), [1])
 
 
 @query(f"WITH {DOC_FACTS} {_COUNTS}")
 def k_stats_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics written as JSON and read back."""
-    one = s.counts(doc_facts(spark, sf_dir))
+    one = s.counts(stored_facts(spark, sf_dir))
     return s.stats_from_json(s.stats_to_json(one), ", ".join(f"{c} long" for c in one.columns))
