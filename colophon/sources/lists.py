@@ -15,15 +15,15 @@ import hashlib
 import html
 import json
 import re
+import sys
 import time
 from collections.abc import Callable, Iterator
 
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from colophon.shipping import ship
-
 PAGE = "set_spec string, page int, token string, status string, tries int, xml string"
 
 _TOKEN = re.compile(r"<(?:[\w.-]+:)?resumptionToken(?:\s[^>]*)?>(.*?)</", re.DOTALL)
@@ -46,13 +46,6 @@ def status_of(page: str) -> str:
     return "OK" if _LIST.search(page) else "ERROR_RETRY"
 
 
-class Place(InputPartition):
-    """Where a list is read from, in a round."""
-
-    def __init__(self, set_spec: str, token: str, page: int, round_: int):
-        self.set_spec, self.token, self.page, self.round = set_spec, token, page, round_
-
-
 class _State:
     """Small files that say where each list got to in each round."""
 
@@ -127,30 +120,31 @@ class _Reader(DataSourceStreamReader):
         state.put_plan(offset, [p for s, p in places.items() if s not in open_])
         return offset
 
-    def partitions(self, start: dict, end: dict) -> list[Place]:
-        return [Place(s, token, page, end["round"]) for s, token, page in end["places"]]
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [InputPartition((s, token, page, end["round"])) for s, token, page in end["places"]]
 
-    def read(self, partition: Place) -> Iterator[tuple]:
-        token, page, failed = partition.token, partition.page, False
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        set_spec, token, page, round_ = partition.value
+        failed = False
         for _ in range(self.pages):
             for tries in range(self.tries):
                 if tries:
                     self.wait(min(2.0 ** (tries - 1), 300.0))
                 try:
-                    xml = self.fetch(partition.set_spec, token)
+                    xml = self.fetch(set_spec, token)
                     status = status_of(xml)
                 except OSError as error:
                     xml, status = str(error), "ERROR_RETRY"
                 if status != "ERROR_RETRY":
                     break
-            yield partition.set_spec, page, token, status, tries + 1, xml
+            yield set_spec, page, token, status, tries + 1, xml
             if status.startswith("ERROR"):
                 failed = True
                 break
             token, page = next_token(xml) if status == "OK" else None, page + 1
             if token is None:
                 break
-        _State(self.state).put(partition.round, {"set": partition.set_spec, "token": token, "page": page, "failed": failed})
+        _State(self.state).put(round_, {"set": set_spec, "token": token, "page": page, "failed": failed})
 
     def commit(self, end: dict) -> None:
         _State(self.state).forget(end["round"])
@@ -170,7 +164,8 @@ def register(spark: SparkSession, name: str, fetch: Callable[[str, str], str], w
         def streamReader(self, schema) -> DataSourceStreamReader:
             return _Reader(dict(self.options), fetch, wait)
 
-    ship(spark)
+    # The process that plans a streaming source gets no shipped files, so what it needs of this module travels with the class.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(Lists)
 
 
