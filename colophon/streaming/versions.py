@@ -160,7 +160,10 @@ class Versions:
         self._save(snapshot)
 
     def clean(self) -> list[int]:
-        """Remove all snapshots but the last good, the last harvested and open ones, then the runs that none of those left names."""
+        """Remove all snapshots but the last good, the last harvested and open ones, then the runs that none of those left names.
+
+        Failed ones go too; the checkpoint of such a harvest is of no use then, and its pages must be asked for anew.
+        """
         gone = {r["id"] for r in rules.to_delete(self.snapshots()).where(~F.col("status").isin(_OPEN)).select("id").collect()}
         names = self._manifests()
         for i in sorted(gone):
