@@ -84,7 +84,7 @@ class Versions:
 
     def _manifests(self) -> dict[int, str]:
         """The name of each snapshot's last manifest; names are enough to tell."""
-        return {int(n.split("-")[0]): n for n in self._names("manifest") if n.endswith(".json")}
+        return {int(n.split("-")[0]): n for n in self._names("manifest") if n[0] != "_"}
 
     def _load(self, name: str) -> Snapshot:
         fs, there = self._fs(f"{self.path}/manifest/{name}")
@@ -96,8 +96,8 @@ class Versions:
         return Snapshot(**{**found, "files": [File(**f) for f in found["files"]]})
 
     def _save(self, snapshot: Snapshot) -> None:
-        """Write the next manifest of a snapshot; it appears whole or not at all, then the one before goes."""
-        before = f"{snapshot.id:012d}-{snapshot.step:08d}.json"
+        """Write the next manifest of a snapshot; it appears whole or not at all. The one before stays for its readers, older ones go."""
+        before = f"{snapshot.id:012d}-{snapshot.step - 1:08d}.json"
         snapshot.step += 1
         name = f"{snapshot.id:012d}-{snapshot.step:08d}.json"
         fs, part = self._fs(f"{self.path}/manifest/_{name}")
@@ -165,10 +165,10 @@ class Versions:
         Failed ones go too; the checkpoint of such a harvest is of no use then, and its pages must be asked for anew.
         """
         gone = {r["id"] for r in rules.to_delete(self.snapshots()).where(~F.col("status").isin(_OPEN)).select("id").collect()}
-        names = self._manifests()
-        for i in sorted(gone):
-            fs, there = self._fs(f"{self.path}/manifest/{names[i]}")
-            fs.delete(there, False)
+        for name in self._names("manifest"):
+            if name[0] != "_" and int(name.split("-")[0]) in gone:
+                fs, there = self._fs(f"{self.path}/manifest/{name}")
+                fs.delete(there, False)
         used = {f.path.split("/")[0] for s in self.all() for f in s.files}
         for run in self._names("data"):
             if run not in used:
