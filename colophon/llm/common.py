@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colophon.shipping import ship
 
@@ -19,6 +20,9 @@ STEP_BYTES = 1_000_000
 #: MB of a post-shuffle partition in steps that write large tables.
 LARGE = 32
 
+#: Bits of the map of keys that have notes, and bits of one of its rows: 2,048 rows of 4 KB at most.
+MAP_BITS, ROW_BITS = 1 << 26, 1 << 15
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _IS_WORD = ~_SPACE
@@ -98,6 +102,21 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n].cast("long").alias(n) if n in ("doc_id", "vec_id") else df[n] for n in names])
 
 
+def noted_apart(rows: DataFrame, key: str, notes: DataFrame, note_id: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among the notes, and the others, which need not be shuffled to meet any.
+
+    A map with a bit for each hash of a key that has a note, 8 MB at most, is sent to all tasks. Where there are very
+    many notes, most bits are set and most rows are in the first part. Null is a key like others.
+    """
+    place = F.pmod(F.xxhash64(F.col(note_id)), F.lit(MAP_BITS))
+    bits = notes.select(place.alias("at")).groupBy(F.floor(F.col("at") / ROW_BITS).alias("_map_row")).agg(F.bitmap_construct_agg(F.col("at") % ROW_BITS).alias("_map_bits"))
+    at = F.pmod(F.xxhash64(F.col(key).cast(notes.schema[note_id].dataType)), F.lit(MAP_BITS))
+    mapped = rows.withColumn("_map_row", F.floor(at / ROW_BITS)).join(F.broadcast(materialize(bits, "note-map")), "_map_row", "left")
+    byte = F.conv(F.hex(F.substring("_map_bits", F.floor(at % ROW_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    has = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return mapped.where(has).select(rows.columns), mapped.where(~has).select(rows.columns)
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows (null: empty)."""
     if isinstance(col, pa.ChunkedArray):

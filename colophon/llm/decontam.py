@@ -3,7 +3,8 @@
 ``build_index`` stores postings (term, doc_id, pos) of the training text, sorted by term in every file, for the
 terms that test items use; other terms cannot be asked for. Of every test window the two rarest terms are looked
 up, and their postings, adjusted by the term's place in the item, must agree on one alignment of item and
-document; nearly all documents drop out here. The alignments left are compared word by word with the document.
+document; nearly all documents drop out here. The alignments left are compared word by word with the document;
+documents without one stay where they are.
 ``proximity`` returns the looser matches: both terms within ``slop`` words in any order.
 
 Defined cases: null and empty texts have no words and no hits, and an item without words has no window; an item
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colophon.llm.common import materialize, own_columns
+from colophon.llm.common import materialize, noted_apart, own_columns
 
 WINDOW = 10
 #: Lists that are intersected before texts are compared.
@@ -82,8 +83,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     found = alignments(index, items, probes(index, items, window))
     candidate = F.struct("item_id", "words", "shift")
     notes = materialize(found.join(items, "ikey").groupBy(F.col("doc_id").alias("note_id")).agg(F.collect_list(candidate).alias("aligned")), "alignments")
-    # The alignments grow with the corpus, so they are merged with it and never broadcast.
-    tokens = docs.join(notes.hint("merge"), docs["doc_id"].eqNullSafe(notes["note_id"]), "left").select(*[docs[c].alias(f"d{i}") for i, c in enumerate(docs.columns)], words_of(docs["text"]).alias("tokens"), "aligned")
+    # Few texts have an alignment, and only they are shuffled. The alignments grow with the corpus, so they are merged with the texts and never broadcast.
+    names = {c: f"d{i}" for i, c in enumerate(docs.columns)}
+    some, others = noted_apart(docs.select(*[docs[c].alias(n) for c, n in names.items()]), names["doc_id"], notes, "note_id")
+    met = some.join(notes.hint("merge"), some[names["doc_id"]].eqNullSafe(notes["note_id"]), "left").drop("note_id")
+    tokens = met.unionByName(others.withColumn("aligned", F.lit(None).cast(notes.schema["aligned"].dataType))).withColumn("tokens", words_of(F.col(names["text"])))
 
     def windows_at(c: Column) -> Column:
         n = F.least(F.size(c["words"]), F.lit(window))
@@ -94,7 +98,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     matched = tokens.withColumn("n_words", n_words.cast("long")).withColumn("hits", F.flatten(F.transform("aligned", windows_at)))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["from"], h["to"]))))
     out = matched.withColumn("n_hit", F.coalesce(F.size(covered), F.lit(0)).cast("long")).withColumn("items", F.coalesce(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"]))), F.array().cast("array<string>")))
-    return out.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)], "n_words", F.when(F.col("hits").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_hit")).alias("n_hit"), "items", (F.col("hits").isNotNull() & (F.col("n_hit") > 0)).alias("contaminated"))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], "n_words", F.when(F.col("hits").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_hit")).alias("n_hit"), "items", (F.col("hits").isNotNull() & (F.col("n_hit") > 0)).alias("contaminated"))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from colophon.llm import components, decontam, line_dedup, packing, queries, secrets, sharding, simhash, substring_dedup, topk
+from colophon.llm import common, components, decontam, line_dedup, packing, queries, secrets, sharding, simhash, substring_dedup, topk
 from colophon.llm.common import hash_words, split_words, text_bytes
 from tests.conftest import SF
 from tests.llm import brute
@@ -192,6 +192,30 @@ def test_decontamination(spark, both):
     same(decontam.digest(docs, bench), brute.contamination(pairs(rows), items))
 
 
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 15])
+def test_rows_without_notes_are_told_apart(spark, monkeypatch, bits):
+    """No row with a note is among the others, of nulls and of keys of another integer type too; with few bits more may have one."""
+    monkeypatch.setattr(common, "MAP_BITS", bits)
+    keys = [None, *range(-3, 20_000)]
+    noted = [None, -3, *range(0, 20_000, 40)]
+    rows = spark.createDataFrame([(k,) for k in keys], "d0 int").repartition(3)
+    some, others = common.noted_apart(rows, "d0", spark.createDataFrame([(k,) for k in noted], "note_id long"), "note_id")
+    some, others = ([r["d0"] for r in x.collect()] for x in (some, others))
+    assert Counter(some + others) == Counter(keys) and set(noted) <= set(some)
+    assert len(some) < (len(noted) + 10 if bits == 1 << 26 else len(keys) // 10)
+    assert common.noted_apart(rows, "d0", spark.createDataFrame([], "note_id long"), "note_id")[0].count() == 0
+
+
+def test_texts_without_alignments_are_not_shuffled(spark):
+    """The texts are in two parts, and only the one with alignments has an exchange to meet them."""
+    docs = spark.createDataFrame([(i, " ".join(f"{c}{i}" for c in "abcdefghijkl")) for i in range(50)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(f"{c}7" for c in "abcdefghijkl"))], "item_id long, text string")
+    out = decontam.contamination(docs, bench)
+    assert [r["doc_id"] for r in out.where("contaminated").collect()] == [7]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 2
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "beta alpha"), (3, "alpha " + "x " * 9 + "beta"), (4, "alpha")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "alpha beta")], "item_id long, text string")
