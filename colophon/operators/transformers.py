@@ -21,6 +21,8 @@ Rewrite = tuple[dict[str, Column], Column]
 _NONE = "array<string>"
 #: Values that a rename moves at most.
 RENAME_CAP = 101
+#: Bytes of a dictionary that is sent to all tasks, and what a key of it takes besides its text.
+SMALL_DICTIONARY, KEY_BYTES = 8 << 20, 64
 
 
 def _without(occ: Column, at: Column) -> Column:
@@ -469,15 +471,20 @@ def translate_by_table(occurrences: DataFrame, dictionary: DataFrame, order: str
     return occurrences.withColumn("fold", F.lower(F.upper("value"))).join(keys, "fold", "left").drop("fold")
 
 
-def translate_by_prefix(occurrences: DataFrame, dictionary: DataFrame) -> DataFrame:
+def translate_by_prefix(occurrences: DataFrame, dictionary: DataFrame, small: int = SMALL_DICTIONARY) -> DataFrame:
     """Prefix dictionaries of any size: a row for each occurrence and key that its value begins with.
 
     For each length that keys have, the beginning of that length is looked up by an equi-join, so what the plan holds
-    grows with the number of lengths and not with the keys. ``place`` is the key's place among those of its value, in
-    the order in which the literal form appends them: without regard to case, then by the key itself.
+    grows with the number of lengths and not with the keys. Beginnings are many times the occurrences, which estimates
+    of their size do not show, so they are never broadcast: a dictionary of up to ``small`` bytes is, else both sides
+    are shuffled. ``place`` is the key's place among those of its value, in the order in which the literal form appends
+    them: without regard to case, then by the key itself.
     """
-    lengths = sorted(r[0] for r in dictionary.select(F.length("key")).distinct().collect())  # as many as the longest key has letters
+    bytes_ = F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length(F.col("value").cast("string")), F.lit(0)) + KEY_BYTES
+    by_length = dictionary.groupBy(F.length("key").alias("n")).agg(F.sum(bytes_).alias("bytes")).where("n IS NOT NULL").collect()  # as many as the longest key has letters
+    lengths = sorted(r["n"] for r in by_length)
     keys = dictionary.groupBy("key").agg(F.max("value").alias("translated"))
+    keys = F.broadcast(keys) if sum(r["bytes"] for r in by_length) <= small else keys.hint("merge")
     numbered = occurrences.withColumn("_occurrence", F.monotonically_increasing_id())
     cuts = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("value"))
     found = numbered.withColumn("_length", F.explode(cuts)).withColumn("key", F.substring(F.col("value"), F.lit(1), F.col("_length"))).join(keys, "key")

@@ -62,6 +62,17 @@ def test_a_large_prefix_table_is_joined(spark):
     assert [tuple(r) for r in found.collect()] == [("k000123-x", "k000123", "123", 0)]
 
 
+@pytest.mark.parametrize("settings", [{}, {"small": 0}])
+def test_beginnings_are_never_broadcast(spark, settings):
+    """Whatever the sizes: few occurrences and many keys, which Spark alone would join by a broadcast of the beginnings."""
+    keys = spark.range(20_000).select(F.concat(F.lit("k"), F.lpad("id", 6, "0")).alias("key"), F.repeat(F.col("id").cast("string"), 20).alias("value"))
+    occurrences = spark.range(50).select(F.concat(F.lit("k"), F.lpad("id", 6, "0"), F.lit("-x")).alias("value"))
+    found = t.translate_by_prefix(occurrences, keys, **settings)
+    assert sorted(tuple(r)[1:] for r in found.collect()) == [(f"k{i:06d}", str(i) * 20, 0) for i in range(50)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("BuildRight" in plan) == (not settings)
+
+
 def test_of_keys_equal_but_for_case_the_last_counts(spark):
     keys = spark.createDataFrame([("RF", "a", 2), ("rf", "b", 1), ("x", "c", 0)], "key string, value string, n int")
     occurrences = spark.createDataFrame([("Rf",), ("X",), ("y",)], "value string")
