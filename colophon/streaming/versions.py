@@ -29,6 +29,8 @@ SNAPSHOTS = "id long, network_id long, previous_id long, status int, start_time
 
 #: Runs that are merged at once, at least; a run is merged with newer ones that together have its size.
 FAN_IN = 4
+#: Rows of a partition and a file of a run, up to the session's number of partitions.
+PART_ROWS = 50_000
 _OPEN = [int(s) for s in (S.INITIALIZED, S.HARVESTING, S.RETRYING)]
 
 
@@ -149,7 +151,10 @@ class Versions:
         """Add the last row (by ``seq``) of each id as a run; a batch of a query that is there already is left alone."""
         if snapshot.batches.get(query, -1) >= batch:
             return
-        snapshot.files += self._write(last_write(delta).drop("seq"), snapshot.next_run)
+        delta = delta.persist()
+        size = delta.count()
+        snapshot.files += self._write(last_write(delta.repartition(self._parts(size), "id")).drop("seq"), snapshot.next_run, size)
+        delta.unpersist()
         snapshot.next_run += 1
         snapshot.batches[query] = batch
         self._merge_runs(snapshot)
@@ -178,11 +183,15 @@ class Versions:
 
     # ---- runs ----
 
-    def _write(self, rows: DataFrame, run: int) -> list[File]:
-        """Write rows, one for each id, as a sorted run; its files' ranges of ids do not overlap."""
+    def _parts(self, rows: int) -> int:
+        """Partitions and files of a run: the session's number, fewer for few rows, as what is cached or comes from a stream is never coalesced."""
+        return max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS)))
+
+    def _write(self, rows: DataFrame, run: int, size: int) -> list[File]:
+        """Write rows, one for each id and ``size`` at most, as a sorted run; its files' ranges of ids do not overlap."""
         folder = f"{run:08d}-{uuid.uuid4().hex}"
         rows = rows.select([c.split()[0] for c in CATALOG.split(", ")]).persist()
-        rows.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{self.path}/data/{folder}")
+        rows.repartitionByRange(self._parts(size), "id").sortWithinPartitions("id").write.parquet(f"{self.path}/data/{folder}")
         rows.unpersist()
         written = self.spark.read.schema(CATALOG).parquet(f"{self.path}/data/{folder}")
         file = F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes")
@@ -202,7 +211,8 @@ class Versions:
             total += size[run]
         if len(some) >= FAN_IN:
             old = [f for f in snapshot.files if f.run in some]
-            merged = self._write(self._merged(old), max(some))
+            rows = sum(f.rows for f in old)
+            merged = self._write(self._merged(old, self._parts(rows)), max(some), rows)
             snapshot.files = [f for f in snapshot.files if f.run not in some] + merged
 
     def _rows(self, files: list[File]) -> DataFrame:
@@ -210,8 +220,8 @@ class Versions:
             return self.spark.createDataFrame([], CATALOG)
         return self.spark.read.schema(CATALOG).parquet(*[f"{self.path}/data/{f.path}" for f in files])
 
-    def _merged(self, files: list[File]) -> DataFrame:
-        """One row for each id. The largest run is filtered by the ids of the others, never sorted."""
+    def _merged(self, files: list[File], parts: int | None = None) -> DataFrame:
+        """One row for each id. The largest run is filtered by the ids of the others, never sorted; ``parts`` deal out what is."""
         runs: dict[int, list[File]] = {}
         for f in files:
             runs.setdefault(f.run, []).append(f)
@@ -225,6 +235,7 @@ class Versions:
                 newer = with_order(r) if newer is None else newer.unionByName(with_order(r))
         ids = newer.select("id").distinct()
         met = with_order(base).join(ids, "id", "left_semi").unionByName(newer)
+        met = met.repartition(parts, "id") if parts else met
         return self._rows(runs[base]).join(ids, "id", "left_anti").unionByName(last_write(met).drop("seq"))
 
     def rows(self, snapshot: Snapshot | None, keys: list[str] | None = None) -> DataFrame:

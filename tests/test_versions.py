@@ -226,3 +226,22 @@ def test_difference_reads_no_bucket_that_is_equal(spark, tmp_path):
 def test_upsert_of_the_catalog_module_is_unchanged(spark):
     base = spark.createDataFrame([("1", "a")], "id string, content string")
     assert sorted(map(tuple, catalog.upsert(base, spark.createDataFrame([("1", "b", 1)], "id string, content string, seq int")).collect())) == [("1", "b")]
+
+
+def test_a_small_batch_is_few_tasks(spark, tmp_path):
+    """Whatever the session's number of partitions: appending and merging a few rows is a few tasks, each a result for the driver."""
+    store, context, before = Versions(spark, str(tmp_path)), spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    one = store.begin()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        context.setJobGroup("few-tasks", "")
+        for n in range(4):
+            store.append(one, delta(spark, [(f"i{k}", 1 + n, str(n)) for k in range(n, n + 3)]).coalesce(1), n, "q")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+    tasks = [i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i]
+    assert tasks and sum(tasks) < 60 and len({f.run for f in one.files}) < 4
+    assert content(store.rows(one)) == {"i0": "0", "i1": "1", "i2": "2", "i3": "3", "i4": "3", "i5": "3"}
