@@ -6,12 +6,14 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 UNCLASSIFIED = "No clasificados"
 UNKNOWN = "UNKNOWN"
+#: Texts and bytes that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 # Patterns that token counts and host names are defined by.
 WORD_OR_NUMBER = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
@@ -22,6 +24,15 @@ WORD_WEIGHT, PUNCTUATION_WEIGHT, CJK_WEIGHT = 1.10, 0.35, 0.65
 DOMAIN = r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*(\.[A-Za-z-]{2,})"
 
 
+def bounded_batches() -> None:
+    """Python workers get texts in small batches, as a batch is held several times over; larger settings are lowered."""
+    session = SparkSession.getActiveSession()
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)) if session else ():
+        now = session.conf.get(key, None)
+        if now is None or not now.isdigit() or int(now) == 0 or int(now) > most:
+            session.conf.set(key, most)
+
+
 def record_id(identifier: Column) -> Column:
     """The id of a catalog record: lower-case MD5 of its identifier."""
     return F.md5(identifier)
@@ -33,13 +44,18 @@ def content_hash(content: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def xxhash64_seed0(content: pd.Series) -> pd.Series:
-    """XXH64 with seed 0 as 16 upper-case hex digits; Spark's own function has seed 42."""
+def _xxhash64(content: pd.Series) -> pd.Series:
     import xxhash
 
     return content.map(lambda s: None if s is None else f"{xxhash.xxh64_intdigest(s.encode()):016X}")
 
 
+def xxhash64_seed0(content: Column) -> Column:
+    """XXH64 with seed 0 as 16 upper-case hex digits; Spark's own function has seed 42."""
+    bounded_batches()
+    return _xxhash64(content)
+
+
 def fingerprint(acronym: Column, identifier: Column, prefix: str = "", translate: dict[str, str] | None = None) -> Column:
     """``ACRONYM_md5``; the hashed text names the translated acronym if there is one. Without acronym: ``00_md5``."""
     plain = F.concat(F.lit(prefix), identifier)
@@ -77,6 +93,7 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 def normalise(text: Column) -> Column:
     """NFC, then ``collapse``."""
+    bounded_batches()
     return collapse(_nfc(text))
 
 
