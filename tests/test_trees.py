@@ -118,3 +118,21 @@ def test_chunks_over_all_documents(spark):
         pieces = [c.split("\n", 1)[1] for c in r["chunks"]]
         assert all(splitting.estimate(p) <= 64 for p in pieces)
         assert "".join("".join(pieces).split()) == "".join((r["normal"] or "").split())
+
+
+def test_python_workers_get_texts_in_small_batches(spark):
+    """Normalising and cutting lower the session's batches, so that a worker's memory does not follow the size of a partition."""
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for make in (lambda: text.normalise(F.col("text")), lambda: text.chunks(F.lit("T"), F.col("text")), lambda: text.xxhash64_seed0(F.col("text"))):
+            spark.conf.set(keys[0], 10_000)
+            spark.conf.set(keys[1], 1 << 28)
+            make()
+            assert int(spark.conf.get(keys[0])) <= text.BATCH_ROWS and int(spark.conf.get(keys[1])) <= text.BATCH_BYTES
+        spark.conf.set(keys[0], 7)
+        text.normalise(F.col("text"))
+        assert spark.conf.get(keys[0]) == "7"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
