@@ -29,6 +29,6 @@ def occurrences_from_records(records: DataFrame, fields: list[str], key: str = "
 
 def records_from_xml(df: DataFrame, xml: str, addresses: dict[str, str]) -> DataFrame:
     """One array column for each name, read from the record tree by its address."""
-    from colophon.functions.address import occurrences
+    from colophon.functions.address import all_occurrences
 
-    return df.withColumns({name: occurrences(F.col(xml), address) for name, address in addresses.items()})
+    return df.withColumns(dict(zip(addresses, all_occurrences(F.col(xml), list(addresses.values())))))

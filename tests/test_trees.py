@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colophon.functions import splitting, text
-from colophon.functions.address import occurrences, xpath_of
+from colophon.functions.address import all_occurrences, occurrences, xpath_of
 from colophon.operators import trees
 from tests.conftest import SF
 
@@ -136,3 +136,16 @@ def test_python_workers_get_texts_in_small_batches(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_addresses_read_at_once_are_those_of_xpath(spark):
+    plain = XML.replace("<!-- c -->", "").replace(' xmlns:x="u"', "")
+    nested = '<metadata><element name="dc"><element name="a"><element name="b"><field name="value">1</field></element><field name="value">2</field></element><field name="value">3<element name="c"><field name="value">4</field></element>5</field></element><field name="value">6</field></metadata>'
+    odd = [XML, plain, nested, nested.replace("3<", "<").replace(">5<", "><"), "<metadata/>", "<other/>", "", None, "<metadata><element name='dc'><field name='value'><![CDATA[x]]>y</field></element></metadata>", "<x:metadata xmlns:x='u'><x:element name='dc'><x:field name='value'>z &lt;&#233;</x:field></x:element></x:metadata>", "<metadata><element name='dc'><field name='value'>  a\r\nb &lt;&#233; </field><field name='value'/></element></metadata>"]
+    addresses = ["dc", "dc.*", "*", "*.*", "dc.creator", "dc.*:role", "dc.a.b", "*.b", "", "dc.none"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "id int, xml string")
+    both = rows.select("id", *[F.struct(got.alias("got"), occurrences(F.col("xml"), a).alias("want")) for a, got in zip(addresses, all_occurrences(F.col("xml"), addresses))])
+    for row in both.collect():
+        for a, pair in zip(addresses, row[1:]):
+            assert pair["got"] == pair["want"], (odd[row["id"]], a)
+    assert str(both._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
