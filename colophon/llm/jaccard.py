@@ -1,7 +1,11 @@
 """Near-duplicates by the Jaccard similarity of word-shingle sets, exact and without loss.
 
-Equal sets are one node from the start. Two sets within the similarity share one of the first elements of each in any
-fixed order (of n elements the first n - ceil(similarity * n) + 1), so each set is filed under those; shingles that many
+Equal sets are one node from the start. Candidates come from two steps, and all of them are compared exactly. First each
+set has a SimHash fingerprint, and fingerprints are linked by segment-popcount embedding (``simhash.links_of``). Sets
+within the similarity can be further apart than that radius, so a prefix filter finds those that fingerprints miss; it
+does not test again what fingerprints have linked.
+
+Two sets within the similarity share one of the first elements of each in any fixed order (of n elements the first n - ceil(similarity * n) + 1), so each set is filed under those; shingles that many
 documents have come last in the order, which keeps cells small and changes no result. Sets that meet are compared by
 size and by the parity of 1,024 hashed bits, and large sets by the counts in 1,024 hashed places, as parity tells nothing
 of them: bits and counts never differ by more than the sets do, so only pairs that cannot be similar fall out. What is
@@ -29,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colophon.llm import simhash
 from colophon.llm.common import LOWER_AZ, bounded_batches, hash_windows, hash_words, materialize, mix, spans_of, split_words, text_bytes, text_steps
 from colophon.llm.components import components, stars
 
@@ -287,9 +292,9 @@ def _tiled(members: DataFrame, large: DataFrame, tile: int) -> DataFrame:
     hub = F.pmod(F.xxhash64("key", F.lit(1)), F.col("size")) < HUBS
     own = F.pmod(F.xxhash64("key"), tiles)
     at = F.when(F.col("size").isNull(), F.array(F.lit(0).cast("long"))).when(hub, F.sequence(F.lit(0).cast("long"), tiles - 1)).otherwise(F.array(own))
-    placed = members.join(large, "cell", "left").select("cell", "key", "size", F.explode(at).alias("at"))
+    placed = members.join(large, "cell", "left").select("cell", "key", "known", "size", F.explode(at).alias("at"))
     unit = F.when(F.col("size").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", "at"))
-    return placed.select(unit.alias("unit"), "key", F.col("key").alias("known"))
+    return placed.select(unit.alias("unit"), "key", "known")
 
 
 def _tile_pairs(members: DataFrame, tile: int) -> DataFrame:
@@ -312,18 +317,20 @@ def _tile_pairs(members: DataFrame, tile: int) -> DataFrame:
     return placed.select(F.xxhash64("cell", "pair.kind", "pair.i", "pair.j").alias("unit"), "key", "known")
 
 
-def _linked(members: DataFrame, compare: Callable[[DataFrame], DataFrame], tile: int, apart: bool = False) -> DataFrame:
-    """(node, root) of the groups that links within cells give, for members (cell, key) without repeats.
+def _linked(members: DataFrame, compare: Callable[[DataFrame], DataFrame], tile: int, apart: bool = False, links: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the groups that links within cells give, for members (cell, key, known) without repeats.
 
+    ``links`` (a, b) are there from the start; ``known`` is the least node that they lead to, or else the key.
     ``compare`` gives links (a, b) that span the groups of each unit of (unit, key, known) rows. If a node is in one
     cell only (``apart``) and no cell is divided, they lead to the least node already. Units of equal hash do no harm.
     """
     large = materialize(members.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > tile), "large")
+    tied = lambda found: components(materialize(found if links is None else found.unionByName(links), "found"))
     if large.isEmpty():
-        found = compare(members.select(F.col("cell").alias("unit"), "key", F.col("key").alias("known")))
-        return found.toDF("node", "root") if apart else components(materialize(found, "found"))
-    roots = components(materialize(compare(_tiled(members, large, tile)), "found"))
-    known = members.join(large.select("cell"), "cell").join(roots.withColumnRenamed("node", "key"), "key", "left")
+        found = compare(members.select(F.col("cell").alias("unit"), "key", "known"))
+        return found.toDF("node", "root") if apart else tied(found)
+    roots = tied(compare(_tiled(members, large, tile)))
+    known = members.drop("known").join(large.select("cell"), "cell").join(roots.withColumnRenamed("node", "key"), "key", "left")
     known = materialize(known.select("cell", "key", F.coalesce("root", "key").alias("known")), "known")
     pairs = materialize(_tile_pairs(known, tile), "pairs")
     if pairs.isEmpty():
@@ -331,10 +338,20 @@ def _linked(members: DataFrame, compare: Callable[[DataFrame], DataFrame], tile:
     return components(materialize(compare(pairs).unionByName(roots.toDF("a", "b")), "found"))
 
 
+def near_fingerprints(marked: DataFrame) -> DataFrame:
+    """(key, known) of the sets whose SimHash fingerprint is that of others or linked to theirs: the least key of each such group."""
+    nodes = materialize(marked.groupBy("key").agg(F.first("fp").alias("fp")), "fingerprints")
+    roots = components(simhash.links_of(nodes.select("fp").distinct()))
+    rooted = materialize(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("key").alias("known"), F.count("*").alias("n")).where("n > 1")
+    return materialize(rooted.join(least, "root").select("key", "known"), "near-fingerprints")
+
+
 def roots_of(docs: DataFrame, marked: DataFrame, n: int, similarity: float) -> DataFrame:
     """(node, root) of the groups that all pairs of sets within the similarity give; roots themselves are not listed."""
     exact = Fraction(str(similarity))
     p, q = exact.numerator, exact.denominator
+    near = near_fingerprints(marked)
     cells, weights = _hot(docs, n)
     order = np.argsort(cells.view(_U))
     hot, weight = cells.view(_U)[order], weights[order]
@@ -362,8 +379,10 @@ def roots_of(docs: DataFrame, marked: DataFrame, n: int, similarity: float) -> D
         met = placed.join(looks, "key").select("unit", "key", "known", "n", "bits", "counts").repartition(F.col("unit")).sortWithinPartitions("unit")
         return met.mapInArrow(lambda b: _by_cell(b, "unit", lambda t: _met(t, p, q)), "a long, b long").distinct()
 
-    roots = _linked(shared, meet, CELL_TILE)
-    blocks = materialize(roots.select(F.col("node").alias("key"), F.col("root").alias("cell")).unionByName(roots.select(F.col("root").alias("key"), F.col("root").alias("cell")).distinct()), "blocks")
+    members = materialize(shared.join(near, "key", "left").select("cell", "key", F.coalesce("known", "key").alias("known")), "members")
+    roots = _linked(members, meet, CELL_TILE, links=near.where("key <> known").toDF("a", "b"))
+    blocks = roots.select(F.col("node").alias("key"), F.col("root").alias("cell")).unionByName(roots.select(F.col("root").alias("key"), F.col("root").alias("cell")).distinct())
+    blocks = materialize(blocks.withColumn("known", F.col("key")), "blocks")
 
     def verify(placed: DataFrame) -> DataFrame:
         mask = np.zeros(_MAP, bool)
@@ -389,11 +408,11 @@ def groups(docs: DataFrame, *ids: str, shingle: int = SHINGLE, similarity: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, h, offs, keys in _sets(batches, shingle):
-            yield pa.record_batch([*[part.column(c) for c in ids], pa.array(keys.view(np.int64)), pa.array(np.diff(offs)), _binary(parity(h, offs)), pa.array([counts(h[a:b]) if b - a >= LONG else b"" for a, b in zip(offs, offs[1:])], pa.binary())], names=[*ids, "key", "n", "bits", "counts"])
+            yield pa.record_batch([*[part.column(c) for c in ids], pa.array(keys.view(np.int64)), pa.array(np.diff(offs)), pa.array(np.array([simhash.fingerprint(h[a:b]) for a, b in zip(offs, offs[1:])], _U).view(np.int64)), _binary(parity(h, offs)), pa.array([counts(h[a:b]) if b - a >= LONG else b"" for a, b in zip(offs, offs[1:])], pa.binary())], names=[*ids, "key", "n", "fp", "bits", "counts"])
 
     bounded_batches(docs.sparkSession)
     docs = docs.select(*ids, "text")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in ids)
-    marked = materialize(docs.mapInArrow(run, f"{schema}, key long, n long, bits binary, counts binary"), "sets")
+    marked = materialize(docs.mapInArrow(run, f"{schema}, key long, n long, fp long, bits binary, counts binary"), "sets")
     roots = materialize(roots_of(docs, marked, shingle, similarity), "roots")
     return marked.select(*ids, "key").join(roots.withColumnRenamed("node", "key"), "key", "left").select(*ids, "key", F.coalesce("root", "key").alias("group"))

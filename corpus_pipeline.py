@@ -44,6 +44,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-duplicates have 0.8 or more of their five-word shingles in common; of each group one row stays.
 
+    Candidates are found by SimHash fingerprints of the shingles, joined by segment-popcount embedding, and those that
+    fingerprints miss by a prefix filter; all are compared exactly.
     It is the row with the smallest doc_id, nulls last; of repeated rows of that id, or of rows that are all without
     one, the first by text digest and then by place stays. Rows are numbered once and written, so that the number holds.
     """

@@ -5,10 +5,13 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from colophon.llm import jaccard
+from colophon.llm import jaccard, simhash
 from tests.conftest import SF
 from tests.llm.brute import LOWER, SPACE
 from tests.llm.test_operators import awkward_rows
@@ -123,3 +126,25 @@ def test_the_stage_keeps_one_row_of_each_group(spark):
     rows += [(9, text("c")), (9, text("d")), (10, text("c")), (None, None), (None, ""), (None, text("e"))]
     out = [(r["doc_id"], (r["text"] or "")[:2]) for r in corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows).repartition(4), "").collect()]
     assert Counter(out) == Counter([(None, "a0"), (7, "b0"), (9, "c0"), (9, "d0"), (None, ""), (None, "e0")])
+
+
+def test_fingerprints_find_candidates_that_are_compared_exactly(spark, monkeypatch):
+    """SimHash groups are those of all pairs of fingerprints; alone, without the prefix filter, they lead to near copies and to nothing else."""
+    rng = random.Random(9)
+    bases = [[f"v{rng.randrange(3000)}" for _ in range(900)] for _ in range(20)]
+    rows = [" ".join(b) for b in bases] + [" ".join([*b[:-1], "end"]) for b in bases] + ["one", "two", "", " "]
+    docs = spark.createDataFrame(list(enumerate(rows)), "at long, text string").repartition(3)
+    prints = [simhash.fingerprint(jaccard.shingle_sets(pa.array([t]))[0]) for t in rows]
+    near = [[j for j in range(len(rows)) if (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS] for i in range(len(rows))]
+    assert sum(20 + i in near[i] for i in range(20)) > 10
+    seen = []
+    monkeypatch.setattr(jaccard, "near_fingerprints", lambda marked, f=jaccard.near_fingerprints: seen.append((marked, f(marked))) or seen[-1][1])
+    assert grouped(spark, rows) == partition(rows)
+    marked, found = seen.pop()
+    known = {r["key"]: r["known"] for r in found.collect()}
+    group = {r["at"]: known.get(r["key"], r["key"]) for r in marked.select("at", "key").collect()}
+    assert all((group[i] == group[j]) == (j in near[i]) for i in range(len(rows)) for j in range(len(rows)))
+    monkeypatch.setattr(jaccard, "_shared", lambda table: [])
+    assert grouped(spark, rows) == [min(x) for x in near]
+    monkeypatch.setattr(jaccard, "near_fingerprints", lambda marked: marked.select("key").distinct().withColumn("known", F.min("key").over(Window.partitionBy(F.lit(1)))))
+    assert grouped(spark, rows) == partition(rows)
