@@ -11,7 +11,6 @@ Text that is no XML gives no nodes.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import numpy as np
@@ -19,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colophon.functions.text import bounded_batches
 from colophon.shipping import ship
 
 #: Begins a step of a path; no XML text can hold it.
@@ -27,52 +27,73 @@ NODE = "pre int, last int, parent int, moved int, tag string, name string, attri
 #: Nodes of a record that a rename moves at most.
 MOST_MOVED = 101
 
-_KIND = pa.schema([("pre", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("moved", pa.int32()), ("tag", pa.string()), ("name", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("path", pa.string()), ("text", pa.string())])
+_COLUMNS = [column.split()[0] for column in NODE.replace("map<string, string>", "map").split(", ")]
+_TEXT = pa.string()
 
 
 def _local(name: str) -> str:
-    return name.rsplit("}", 1)[-1]
+    return name.rsplit("}", 1)[-1] if "}" in name else name
 
 
-def _nodes_of(xml: str | None) -> list[tuple]:
-    """The nodes of one document in order; without recursion, so depth is no limit."""
+def _add_nodes(xml: str | None, kinds: dict[tuple, int], parents: list[int], of: list[int], texts: list[str | None]) -> None:
+    """Append the nodes of one document in order, and what tags, attributes and places are new to ``kinds``; without recursion, so depth is no limit."""
     try:
         root = ElementTree.fromstring(xml or "")
     except ElementTree.ParseError:
-        return []
-    out: list[list] = []
-    open_: list[tuple] = [(root, -1, "")]
+        return
+    first, open_ = len(parents), [(root, -1, -1)]
     while open_:
         element, parent, above = open_.pop()
-        if element is None:  # the end of a node
-            out[parent][1] = len(out) - 1
-            continue
-        attributes = {_local(k): v for k, v in element.attrib.items()}
-        tag, pre = _local(element.tag), len(out)
-        path = f"{above}{STEP}{tag}" + (f"={attributes['name']}" if "name" in attributes else "")
-        out.append([pre, pre, parent, 0, tag, attributes.get("name"), list(attributes.items()), path, element.text or None])
-        open_.append((None, pre, ""))
-        open_.extend((child, pre, path) for child in reversed(element) if isinstance(child.tag, str))
-    return out
+        kind = kinds.setdefault((above, element.tag, *element.items()), len(kinds))
+        if len(element):
+            pre = len(parents) - first
+            open_ += [(child, pre, kind) for child in reversed(element)]
+        parents.append(parent)
+        of.append(kind)
+        texts.append(element.text or None)
+
+
+def _last_below(parents: list[int]) -> list[int]:
+    """The number of the last node below each node of one document."""
+    last = list(range(len(parents)))
+    for i in range(len(parents) - 1, 0, -1):
+        if last[i] > last[parents[i]]:
+            last[parents[i]] = last[i]
+    return last
+
+
+def _trees_of(documents: pa.Array) -> pa.Array:
+    """The list of nodes of each document; nodes of the same place, tag and attributes share one entry of ``kinds``."""
+    kinds: dict[tuple, int] = {}
+    parents, of, texts, ends, last = [], [], [], [0], []
+    for xml in documents.to_pylist():
+        _add_nodes(xml, kinds, parents, of, texts)
+        last += _last_below(parents[ends[-1] :])
+        ends.append(len(parents))
+    tags, names, attributes, paths = [], [], [], []
+    for above, tag, *items in kinds:
+        found = {_local(k): v for k, v in items}
+        tags.append(_local(tag))
+        names.append(found.get("name"))
+        attributes.append(list(found.items()))
+        paths.append((paths[above] if above >= 0 else "") + STEP + tags[-1] + (f"={found['name']}" if "name" in found else ""))
+    pre = np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
+    numbers = [pa.array(np.asarray(x, np.int32)) for x in (pre, last, parents, np.zeros(ends[-1]))]
+    at = pa.array(of, pa.int32())
+    shared = [pa.array(x, t).take(at) for x, t in ((tags, _TEXT), (names, _TEXT), (attributes, pa.map_(_TEXT, _TEXT)), (paths, _TEXT))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([*numbers, *shared, pa.array(texts, _TEXT)], _COLUMNS))
 
 
 def nodes(df: DataFrame, xml: str, key: str = "record_id") -> DataFrame:
-    """The key and the columns of ``NODE`` for each element of each document."""
-    ship(df.sparkSession)
-    rows = df.select(key, F.col(xml).alias("_xml"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, rows, counts = batch.column(0), [], []
-            for text in batch.column(1).to_pylist():
-                found = _nodes_of(text)
-                rows += found
-                counts.append(len(found))
-            if rows:
-                of = pa.array(np.repeat(np.arange(len(counts)), counts))
-                yield pa.record_batch([keys.take(of), *[pa.array(c, f.type) for c, f in zip(zip(*rows), _KIND)]], names=[key, *_KIND.names])
+    """The key and the columns of ``NODE`` for each element of each document.
 
-    return rows.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, {NODE}")
+    Trees are dealt out by the key, each as one row, so that joins and windows by record need no shuffle of their nodes.
+    """
+    ship(df.sparkSession)
+    bounded_batches()
+    # Called non-deterministic, so that the filter that Spark infers from the inline is not computed by parsing again.
+    parse = F.arrow_udf(_trees_of, f"array<struct<{NODE}>>").asNondeterministic()
+    return df.select(key, parse(F.col(xml)).alias("_nodes")).repartition(F.col(key)).select(key, F.inline("_nodes"))
 
 
 def _pattern(address: str, with_field: bool = True) -> str:
@@ -97,7 +118,15 @@ def with_sibling(tree: DataFrame, field: str, name: str, key: str = "record_id")
 
 
 def sub_documents(tree: DataFrame, element: str, key: str = "record_id") -> DataFrame:
-    """The nodes under each element of an address, by the element's number ``root``; ``path`` begins below it."""
+    """The nodes under each element of an address, by the element's number ``root``; ``path`` begins below it.
+
+    Elements of an address without ``*`` have one depth, so the one that a node is under is the last before it.
+    """
+    if "*" not in element.split("."):
+        before = Window.partitionBy(key).orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+        seen = tree.withColumn("_root", F.last(F.when(at(f"{element}.$"), F.struct("pre", "last", F.length("path").alias("skip"))), ignorenulls=True).over(before))
+        under = seen.where(F.col(key).isNotNull() & (F.col("pre") > F.col("_root.pre")) & (F.col("pre") <= F.col("_root.last")))
+        return under.withColumns({"path": F.expr("substring(path, _root.skip + 1)"), "root": F.col("_root.pre")}).drop("_root")
     roots = tree.where(at(f"{element}.$")).select(key, F.col("pre").alias("root"), F.col("last").alias("end"), F.length("path").alias("skip"))
     below = tree.join(roots, key).where((F.col("pre") > F.col("root")) & (F.col("pre") <= F.col("end")))
     return below.withColumn("path", F.expr("substring(path, skip + 1)")).drop("end", "skip")
@@ -110,7 +139,7 @@ def look_up(tree: DataFrame, element: str, discriminator: str, value: str, wante
     """
     below = lambda name: F.col("path").rlike(rf"\A{_pattern(name) if '.' in name or ':' in name else f'{STEP}field={re.escape(name)}'}\z") & F.col("text").isNotNull()
     first = lambda name: F.min(F.when(below(name), F.struct("pre", "text")))["text"]
-    each = sub_documents(tree, element, key).groupBy(key, "root").agg(first(discriminator).alias("is"), first(wanted).alias("value"))
+    each = sub_documents(tree, element, key).where(below(discriminator) | below(wanted)).groupBy(key, "root").agg(first(discriminator).alias("is"), first(wanted).alias("value"))
     return each.where(F.col("is") == value).groupBy(key).agg(F.min_by("value", "root").alias("value"))
 
 
@@ -131,8 +160,7 @@ def rename(tree: DataFrame, condition: Column, target: str, most: int = MOST_MOV
 def fields(tree: DataFrame, key: str = "record_id") -> DataFrame:
     """The occurrences of all fields: key, field (its address), pos and value, in document order."""
     found = tree.where((F.col("path").rlike(rf"{STEP}field=[^{STEP}]*\z")) & F.col("text").isNotNull())
-    steps = F.filter(F.split("path", STEP), lambda s: s.startswith("element="))
     name = F.substring_index("path", f"{STEP}field=", -1)
-    address = F.concat(F.array_join(F.transform(steps, lambda s: F.substr(s, F.lit(9))), "."), F.when(name == "value", "").otherwise(F.concat(F.lit(":"), name)))
+    address = F.concat(F.array_join(F.regexp_extract_all("path", F.lit(f"{STEP}element=([^{STEP}]*)"), 1), "."), F.when(name == "value", "").otherwise(F.concat(F.lit(":"), name)))
     numbered = found.withColumn("pos", F.row_number().over(Window.partitionBy(key, "path").orderBy("moved", "pre")) - 1)
     return numbered.select(key, address.alias("field"), "pos", F.col("text").alias("value"))

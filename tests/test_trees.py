@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from colophon.functions import splitting, text
 from colophon.functions.address import all_occurrences, occurrences, xpath_of
 from colophon.operators import trees
+from colophon.plans import rules
 from tests.conftest import SF
 
 XML = """<metadata xmlns="http://m/" xmlns:x="u"><element name="dc"><element name="title"><element name="none"><field name="value">T &amp; t</field></element></element>
@@ -149,3 +150,33 @@ def test_addresses_read_at_once_are_those_of_xpath(spark):
         for a, pair in zip(addresses, row[1:]):
             assert pair["got"] == pair["want"], (odd[row["id"]], a)
     assert str(both._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
+
+
+def test_trees_of_records_are_read_once_and_not_shuffled_again(spark):
+    """Records are parsed once and dealt out as whole trees; what is asked by record needs no shuffle of their nodes."""
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for query in (rules.t_rename_by_path, rules.x_look_up):
+            plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("EvalPython") + plan.count("MapInArrow") == 1, plan
+            assert "Generate inline" in plan and "Exchange" not in plan.split("Generate inline")[0], plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
+def test_sub_documents_by_place_are_those_of_the_join(spark):
+    """Records of several depths, elements below elements of the same name, and a null key; ``*`` in an address goes by the join."""
+    rng = random.Random(3)
+
+    def made(depth: int) -> str:
+        inside = "".join(made(depth - 1) if depth and rng.random() < 0.6 else f'<field name="{rng.choice("kv")}">{rng.randrange(3)}</field>' for _ in range(rng.randrange(4)))
+        return f'<element name="{rng.choice(["a", "b"])}">{inside}</element>'
+
+    rows = [(i if i else None, f"<metadata>{''.join(made(4) for _ in range(3))}</metadata>") for i in range(60)]
+    tree = trees.nodes(spark.createDataFrame(rows, "record_id long, xml string"), "xml").cache()
+    for address in ("a", "a.b", "a.a", "b.a.b", "a.*", "*"):
+        roots = tree.where(trees.at(f"{address}.$")).select("record_id", F.col("pre").alias("root"), F.col("last").alias("end"), F.length("path").alias("skip"))
+        want = tree.join(roots, "record_id").where("pre > root AND pre <= end").selectExpr("record_id", "root", "pre", "substring(path, skip + 1) AS path", "text")
+        got = trees.sub_documents(tree, address).select("record_id", "root", "pre", "path", "text")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and not set(want.columns) - set(got.columns)
