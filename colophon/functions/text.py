@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -97,6 +98,12 @@ def normalise(text: Column) -> Column:
     return collapse(_nfc(text))
 
 
+def normal(text: str | None) -> str:
+    """``normalise`` for one Python string; null gives the empty one."""
+    joined = re.sub(r"-\s*\n\s*", "", unicodedata.normalize("NFC", text or ""), flags=re.ASCII)
+    return re.sub(r"\s+", " ", joined, flags=re.ASCII).strip(" ")
+
+
 def estimate(text: str) -> int:
     """``token_estimate`` for one Python string."""
     from colophon.functions import splitting
@@ -105,14 +112,18 @@ def estimate(text: str) -> int:
 
 
 def chunks(title: Column, abstract: Column, most_tokens: int = 128, most_chunks: int = 5, overlap: int = 0) -> Column:
-    """Up to ``most_chunks`` texts of title, line break, piece of the abstract; empty if either is blank."""
+    """Up to ``most_chunks`` texts of title, line break, piece of the abstract; empty if either is blank.
+
+    Both are normalised in the Python function that cuts, so a task has one Python worker.
+    """
     from colophon.functions.splitting import split_text
 
     @F.pandas_udf(ArrayType(StringType()))
     def cut(titles: pd.Series, abstracts: pd.Series) -> pd.Series:
-        return pd.Series([[f"{t}\n{c}" for c in split_text(a, most_tokens, overlap)[:most_chunks]] if t and a else [] for t, a in zip(titles.fillna(""), abstracts.fillna(""))])
+        return pd.Series([[f"{t}\n{c}" for c in split_text(a, most_tokens, overlap)[:most_chunks]] if t and a else [] for t, a in zip(titles.fillna("").map(normal), abstracts.fillna("").map(normal))])
 
-    return cut(normalise(title), normalise(abstract))
+    bounded_batches()
+    return cut(title, abstract)
 
 
 def title_counts(title: Column, least: int = 5) -> Column:

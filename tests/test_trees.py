@@ -180,3 +180,13 @@ def test_sub_documents_by_place_are_those_of_the_join(spark):
         want = tree.join(roots, "record_id").where("pre > root AND pre <= end").selectExpr("record_id", "root", "pre", "substring(path, skip + 1) AS path", "text")
         got = trees.sub_documents(tree, address).select("record_id", "root", "pre", "path", "text")
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and not set(want.columns) - set(got.columns)
+
+
+def test_chunks_take_one_python_worker_a_task(spark):
+    """Normalising is part of the function that cuts, and gives what the columns of ``normalise`` do."""
+    odd = [None, "", " ", "a-\n b\t c d  ", "é co-\r\n op\x0b\x0c\x1c\x85x", "-\n", "x -\n\n y z"]
+    rows = spark.createDataFrame([(t,) for t in odd], "text string")
+    both = rows.select("text", text.normalise(F.col("text")).alias("want")).collect()
+    assert [text.normal(r["text"]) for r in both] == [r["want"] or "" for r in both]
+    plan = rows.select(text.chunks(F.lit("T"), F.col("text")).alias("c"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1, plan
